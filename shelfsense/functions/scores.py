@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 # Similarities are rounded before they are compared or ranked, so that neither depends on the
 # order in which partitions add up a floating-point sum.
 SCORE_DIGITS = 9
+PRIORITY_DIGITS = 12
 
 
-def rounded(col: Column) -> Column:
-    return F.round(col, SCORE_DIGITS)
+def rounded(col: Column, digits: int = SCORE_DIGITS) -> Column:
+    return F.round(col, digits)
+
+
+def weighted_mean(similarity: Column, rating: Column) -> Column:
+    """Aggregate: mean of similarity * rating. The sum is decimal, hence the same in any order."""
+    return F.sum((similarity * rating).cast("decimal(20,11)")).cast("double") / F.count(F.lit(1))
 
 
 def cooccurrence_similarity(together: Column, count_a: Column, count_b: Column) -> Column:

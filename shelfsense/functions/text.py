@@ -6,21 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace to trim is every character up to and including U+0020.
-TRIM_PATTERN = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
+BLANKS = "".join(chr(c) for c in range(0x21))
 
 
 def trim_all(col: Column) -> Column:
     """Trim tabs, line ends and other control characters as well as spaces."""
-    return F.regexp_replace(col, TRIM_PATTERN, "")
-
-
-def field(col: Column, delimiter_pattern: str, index: int) -> Column:
-    """Trimmed ``index``-th part, NULL when there are too few parts."""
-    return trim_all(F.get(F.split(col, delimiter_pattern), index))
+    return F.trim(col, F.lit(BLANKS))
 
 
 def bar_field(col: Column, index: int) -> Column:
-    return field(col, "[|]", index)
+    """Trimmed ``index``-th part (from 0) of a ``|``-separated text, empty when there are too few."""
+    return trim_all(F.split_part(col, F.lit("|"), F.lit(index + 1)))
 
 
 def bars_to_spaces(col: Column) -> Column:

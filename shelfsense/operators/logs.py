@@ -17,8 +17,8 @@ LOGIN_TOPIC, RATING_TOPIC, PV_TOPIC = [topic for _, topic in ROUTES]
 RATING_KEY = "logProcessor"
 
 
-def _first_match(line: Column, value_of) -> Column:
-    return F.coalesce(*[F.when(line.contains(prefix), value_of(prefix, topic)) for prefix, topic in ROUTES])
+def _by_route(line: Column, pick: int) -> Column:
+    return F.coalesce(*[F.when(line.contains(route[0]), F.lit(route[pick])) for route in ROUTES])
 
 
 def classify(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -27,10 +27,8 @@ def classify(lines: DataFrame, value: str = "value") -> DataFrame:
     A prefix with nothing behind it gives an empty body; a line without any prefix gives NULL topic.
     """
     line = F.col(value)
-    body = _first_match(line, lambda prefix, _: F.get(F.split(line, prefix), 1))
-    return lines.select(
-        _first_match(line, lambda _, topic: F.lit(topic)).alias("topic"), trim_all(body).alias("body"), line.alias("value")
-    )
+    body = F.split_part(line, _by_route(line, 0), F.lit(2))
+    return lines.select(_by_route(line, 1).alias("topic"), trim_all(body).alias("body"), line.alias("value"))
 
 
 def clean_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -45,9 +43,8 @@ def clean_rating_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     prefix = ROUTES[1][0]
     line = F.col(value)
-    return lines.where(line.contains(prefix)).select(
-        F.lit(RATING_KEY).alias("key"), trim_all(F.get(F.split(line, prefix), 1)).alias("body")
-    )
+    body = F.split_part(line, F.lit(prefix), F.lit(2))
+    return lines.where(line.contains(prefix)).select(F.lit(RATING_KEY).alias("key"), trim_all(body).alias("body"))
 
 
 def _parsed(rows: DataFrame, body: str, fields: list[tuple[str, int, str]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.functions.scores import log10_at_least_one, rounded
+from shelfsense.functions.scores import PRIORITY_DIGITS, log10_at_least_one, rounded, weighted_mean
 from shelfsense.operators.ratings import latest_rating, recent_ratings
 from shelfsense.plans.ranking import nest_ranked, ranked, top_k
 
@@ -47,8 +47,8 @@ def priority_scores(wanted: DataFrame, recent: DataFrame, similar: DataFrame, th
     evidence = wanted.select("userId", "candidate").join(history, "userId").join(lookup, ["candidate", "ratedId"])
     high = F.count_if(F.col("rating") > HIGH_SCORE)
     low = F.count_if(F.col("rating") <= HIGH_SCORE)
-    score = F.avg(F.col("similarity") * F.col("rating")) + log10_at_least_one(high) - log10_at_least_one(low)
-    return evidence.groupBy("userId", "candidate").agg(rounded(score).alias("score")).select(
+    score = weighted_mean(F.col("similarity"), F.col("rating")) + log10_at_least_one(high) - log10_at_least_one(low)
+    return evidence.groupBy("userId", "candidate").agg(rounded(score, PRIORITY_DIGITS).alias("score")).select(
         "userId", F.col("candidate").alias("productId"), "score"
     )
 

@@ -117,8 +117,8 @@ evidence AS (
   JOIN content c ON c."productId" = k.candidate AND c."recProductId" = r."productId"),
 scores AS (
   SELECT "userId", candidate,
-         round(avg(sim * rating) + log10(greatest(count(*) FILTER (rating > 3), 1))
-               - log10(greatest(count(*) FILTER (rating <= 3), 1)), 9) AS score
+         round(sum(CAST(sim * rating AS DECIMAL(20, 11)))::DOUBLE / count(*) + log10(greatest(count(*) FILTER (rating > 3), 1))
+               - log10(greatest(count(*) FILTER (rating <= 3), 1)), 12) AS score
   FROM evidence GROUP BY 1, 2),
 realtime AS (
   SELECT "userId", row_number() OVER (PARTITION BY "userId" ORDER BY score DESC, candidate)::INT AS rank,
