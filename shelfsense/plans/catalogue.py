@@ -101,19 +101,26 @@ def distinct_products(spark: SparkSession, sf: str) -> DataFrame:
 # -- log lines -------------------------------------------------------------------------------------
 
 
+def _raw_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as it arrives: text files, one line per event."""
+    path = new_path(spark, "log")
+    tables.log_lines(spark, sf).write.text(path)
+    return spark.read.text(path)
+
+
 def log_clean_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.clean_lines(tables.log_lines(spark, sf))
+    return logs.clean_lines(_raw_lines(spark, sf))
 
 
 def log_route_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Routed to one folder per topic, read back and counted."""
     path = new_path(spark, "topics")
-    write_by_topic(logs.clean_lines(tables.log_lines(spark, sf)), path)
+    write_by_topic(logs.clean_lines(_raw_lines(spark, sf)), path)
     return spark.read.parquet(path).groupBy("topic").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def log_rating_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.clean_rating_lines(tables.log_lines(spark, sf))
+    return logs.clean_rating_lines(_raw_lines(spark, sf))
 
 
 def log_clean_ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +138,7 @@ def log_clean_views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.quarantine(tables.log_lines(spark, sf))
+    return logs.quarantine(_raw_lines(spark, sf))
 
 
 # -- rating state ----------------------------------------------------------------------------------
