@@ -60,30 +60,33 @@ def unordered(ids_a: np.ndarray, ids_b: np.ndarray, hit: np.ndarray, same_chunk:
 def member_pairs(
     members: DataFrame, group: Sequence[str], member: str, payload: Sequence[str] = (), block: int = 2048
 ) -> DataFrame:
-    """Unordered member pairs of every group by self-join: (group..., a_<col>, b_<col>), a_member < b_member."""
+    """Unordered member pairs of every group: (group..., a_<col>, b_<col>), a_member < b_member.
+
+    Every chunk of a group becomes one sorted array of about ``block`` members at most. Pairs inside
+    a chunk unfold from that array alone, without a join; only chunks of a group beyond ``block``
+    are joined with each other, one row per cell.
+    """
     columns = [member, *payload]
     rows, split = _chunked(members.select(*group, *columns), group, member, block)
-    keys = list(group)
-    left = right = rows
-    if split:
-        keys += ["_i", "_j"]
-        left = rows.withColumn("_j", F.explode(F.sequence("_chunk", F.col("_chunks") - 1))).withColumnRenamed("_chunk", "_i")
-        right = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_chunk")))).withColumnRenamed("_chunk", "_j")
-    a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = right.select(*[F.col(k).alias(f"r{k}") for k in keys], *[F.col(c).alias(f"b_{c}") for c in columns])
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"r{k}"))
-    lower, upper = F.col(f"a_{member}"), F.col(f"b_{member}")
+    lists = rows.groupBy(*group, "_chunk", "_chunks").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_x"))
+
+    def sides(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.select(*group, *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in ((a, "a"), (b, "b")) for c in columns])
+
+    opened = lists.select(*group, "_x", F.posexplode("_x").alias("_at", "_a"))
+    inside = sides(opened.select(*group, "_a", F.explode(F.slice("_x", F.col("_at") + 2, F.size("_x"))).alias("_b")), "_a", "_b")
     if not split:
-        return a.join(b, on & (lower < upper)).select(
-            *group, *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns]
-        )
-    # Across two chunks a pair may arrive in either order.
-    pairs = a.join(b, on & ((lower < upper) | ((F.col("_i") < F.col("_j")) & (lower != upper))))
-    small = [F.when(lower < upper, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}") for c in columns]
-    large = [F.when(lower < upper, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}") for c in columns]
-    return pairs.select(*group, *small, *large)
+        return inside
+    many = lists.where("_chunks > 1")
+    ahead = F.explode(F.sequence(F.col("_chunk") + 1, F.col("_chunks") - 1)).alias("_j")
+    left = many.where("_chunk < _chunks - 1").select(*group, F.col("_chunk").alias("_i"), ahead, F.col("_x").alias("_y"))
+    behind = F.explode(F.sequence(F.lit(0), F.col("_chunk") - 1)).alias("_i")
+    right = many.where("_chunk > 0").select(*group, behind, F.col("_chunk").alias("_j"), F.col("_x").alias("_z"))
+    met = left.join(right, [*group, "_i", "_j"]).select(*group, F.explode("_y").alias("_l"), "_z")
+    met = met.select(*group, "_l", F.explode("_z").alias("_r"))
+    # Members of different chunks differ, but arrive in either order.
+    across = sides(met.select(*group, F.least("_l", "_r").alias("_a"), F.greatest("_l", "_r").alias("_b")), "_a", "_b")
+    return inside.unionByName(across)
 
 
 def both_directions(pairs: DataFrame, a: str, b: str, src: str, dst: str, keep: Sequence[str]) -> DataFrame:
