@@ -21,11 +21,11 @@ from shelfsense.operators import (
     statistics,
 )
 from shelfsense.plans.ranking import nest_ranked, unnest_ranked
-from shelfsense.schemas import STREAM_RECS
+from shelfsense.schemas import HOT_ITEMS, STREAM_RECS
 from shelfsense.session import ROCKSDB_PROVIDER, materialise, new_path
 from shelfsense.sources import order_tables as tables
 from shelfsense.sources.files import write_by_topic
-from shelfsense.sources.keyed import read_latest
+from shelfsense.sources.keyed import read_all, read_latest
 from shelfsense.sources.streams import read_lines, to_files
 from shelfsense.streaming import jobs
 
@@ -336,8 +336,10 @@ def stream_route_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_hot_items(spark: SparkSession, sf: str) -> DataFrame:
     lines = _line_stream(tables.log_lines(spark, sf), ["PRODUCT_PV_PREFIX:0|pv|4102444800"])
     views = logs.parse_page_views(logs.topic_rows(jobs.cleanse(lines), logs.PV_TOPIC))
-    hot = jobs.hot_items(views, f"{WIDE_WINDOW} seconds", f"{WIDE_SLIDE} seconds")
-    return _run_to_table(hot, "stream-hot")
+    counts = jobs.hot_item_counts(views, f"{WIDE_WINDOW} seconds", f"{WIDE_SLIDE} seconds")
+    path = new_path(spark, "stream-hot")
+    jobs.hot_items(counts, path, new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return read_all(spark, path, HOT_ITEMS)
 
 
 def _event_bodies(spark: SparkSession, sf: str) -> DataFrame:

@@ -76,6 +76,15 @@ SIMILARITY = T.StructType(
     ]
 )
 
+HOT_ITEMS = T.StructType(
+    [
+        T.StructField("windowEnd", T.LongType()),
+        T.StructField("rank", T.IntegerType()),
+        T.StructField("itemId", T.IntegerType()),
+        T.StructField("nums", T.LongType()),
+    ]
+)
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns in order and cast them; a missing column fails at analysis."""

@@ -13,11 +13,16 @@ from pyspark.sql import types as T
 BATCH = "batch"
 
 
-def upsert_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Store one batch, which holds at most one row per key."""
+def store_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Store one batch; for :func:`read_latest` it must hold at most one row per key."""
     rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def read_all(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of all batches."""
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.names)
+
+
 def read_latest(spark: SparkSession, path: str, key: str, schema: T.StructType) -> DataFrame:
     """The current row of every key."""
     with_batch = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from shelfsense.operators import hotitems, logins, logs, realtime
-from shelfsense.sources.keyed import upsert_batch
+from shelfsense.sources.keyed import store_batch
 from shelfsense.streaming.processors import BurstMonitor, PatternMonitor
 
 TRIGGER = "2 seconds"
@@ -26,31 +26,32 @@ def cleanse_ratings(lines: DataFrame) -> DataFrame:
     return logs.stamp_ingestion(logs.clean_rating_lines(lines))
 
 
-def hot_items(
-    views: DataFrame,
-    size: str = "10 minutes",
-    slide: str = "2 minutes",
-    delay: str = "1 second",
-    n: int = hotitems.TOP,
+def hot_item_counts(
+    views: DataFrame, size: str = "10 minutes", slide: str = "2 minutes", delay: str = "1 second"
 ) -> DataFrame:
-    """Top items of every closed sliding window: (windowEnd, rank, itemId, nums).
+    """Views per item of every closed sliding window: (windowEnd, itemId, nums).
 
-    Two chained aggregations; a window is emitted once the watermark has passed it, and views behind
-    the watermark are dropped.
+    In append mode a window's rows all appear in the micro-batch in which the watermark passes its
+    end; views behind the watermark are dropped.
     """
     counted = (
         views.withWatermark("ts", delay)
         .groupBy(F.window("ts", size, slide), "itemId")
         .agg(F.count(F.lit(1)).alias("nums"))
     )
-    # Negated counts make the natural struct order "most views first, then smallest id".
-    entry = F.struct((-F.col("nums")).alias("minus"), F.col("itemId").alias("itemId"))
-    per_window = counted.groupBy("window").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, n).alias("top"))
-    return per_window.select(
-        F.unix_seconds("window.end").alias("windowEnd"), F.posexplode("top").alias("_pos", "_item")
-    ).select(
-        "windowEnd", (F.col("_pos") + 1).alias("rank"), F.col("_item.itemId").alias("itemId"), (-F.col("_item.minus")).alias("nums")
-    )
+    return counted.select(F.unix_seconds("window.end").alias("windowEnd"), "itemId", "nums")
+
+
+def hot_items(counts: DataFrame, path: str, checkpoint: str, n: int = hotitems.TOP) -> DataStreamWriter:
+    """Rank the windows closed in each micro-batch and store (windowEnd, rank, itemId, nums).
+
+    Ranked as a batch, so a window of any number of items is cut to ``n`` before it is shuffled.
+    """
+
+    def rank(batch: DataFrame, batch_id: int) -> None:
+        store_batch(hotitems.hot_items(batch, n), path, batch_id)
+
+    return counts.writeStream.outputMode("append").foreachBatch(rank).option("checkpointLocation", checkpoint)
 
 
 def login_bursts(
@@ -100,8 +101,9 @@ def realtime_lists(
     def refresh(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            upsert_batch(realtime.realtime_recs(rows, ratings, similar, **options), path, batch_id)
+            store_batch(realtime.realtime_recs(rows, ratings, similar, **options), path, batch_id)
         finally:
             rows.unpersist()
 
-    return rating_events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    writer = rating_events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=TRIGGER)

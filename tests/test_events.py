@@ -6,6 +6,9 @@ from datetime import datetime, timezone
 import pytest
 
 from shelfsense.operators import hotitems, logins, logs
+from shelfsense.schemas import HOT_ITEMS
+from shelfsense.sources.keyed import read_all
+from shelfsense.sources.streams import to_files
 from shelfsense.streaming import jobs
 
 T0 = 1_600_000_000
@@ -102,19 +105,27 @@ def test_hot_items_and_report(spark, rows):
         hotitems.window_counts(views(spark, ROTATION), 100, 30)
 
 
-def run_stream(spark, tmp_path, schema, parts, build, columns):
-    """Feed the parts as one file each, in order, one file per micro-batch."""
-    source, sink = tmp_path / "in", tmp_path / "out"
+def feed(spark, tmp_path, schema, parts, start):
+    """One file per part, in order; every part is its own run, so state is recovered in between."""
+    source = tmp_path / "in"
     source.mkdir()
-    def start():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-        writer = build(stream).writeStream.format("parquet").option("path", str(sink))
-        return writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
-
     for n, lines in enumerate(parts):
         (source / f"{n:03d}.json").write_text("\n".join(lines))
-        start().awaitTermination()  # also exercises recovery of state from the checkpoint
-    return sorted(tuple(r) for r in spark.read.parquet(str(sink)).select(*columns).collect())
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+        start(stream).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_stream(spark, tmp_path, schema, parts, build, columns):
+    sink, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    feed(spark, tmp_path, schema, parts, lambda stream: to_files(build(stream), sink, progress))
+    return sorted(tuple(r) for r in spark.read.parquet(sink).select(*columns).collect())
+
+
+def run_hot_items(spark, tmp_path, parts):
+    sink, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    start = lambda stream: jobs.hot_items(jobs.hot_item_counts(stream), sink, progress)
+    feed(spark, tmp_path, "itemId int, ts timestamp", parts, start)
+    return sorted(tuple(r) for r in read_all(spark, sink, HOT_ITEMS).collect())
 
 
 def iso(seconds):
@@ -124,8 +135,7 @@ def iso(seconds):
 def test_stream_hot_items_equals_batch(spark, tmp_path):
     lines = [f'{{"itemId":{i},"ts":"{iso(T0 + s)}"}}' for i, s in ROTATION]
     parts = [lines[:150], lines[150:], [f'{{"itemId":0,"ts":"{iso(FAR)}"}}']]
-    got = run_stream(spark, tmp_path, "itemId int, ts timestamp", parts, jobs.hot_items, ["windowEnd", "rank", "itemId", "nums"])
-    assert got == brute_hot(ROTATION, 600, 120, 3)
+    assert run_hot_items(spark, tmp_path, parts) == brute_hot(ROTATION, 600, 120, 3)
 
 
 def _login_parts(rows):
@@ -161,8 +171,7 @@ def test_rating_stream_is_stamped(spark):
 def test_late_views_are_dropped(spark, tmp_path):
     line = lambda i, t: f'{{"itemId":{i},"ts":"{iso(t)}"}}'
     parts = [[line(1, T0)], [line(1, T0 + 3600)], [line(2, T0)], [line(0, FAR)]]
-    got = run_stream(spark, tmp_path, "itemId int, ts timestamp", parts, jobs.hot_items, ["itemId"])
-    assert {i for (i,) in got} == {1}
+    assert {item for _, _, item, _ in run_hot_items(spark, tmp_path, parts)} == {1}
 
 
 def test_columns_of_empty_input(spark):

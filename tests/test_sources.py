@@ -45,14 +45,14 @@ def _recs(spark, *items):
 def test_keyed_upsert(spark, tmp_path):
     path = str(tmp_path / "k")
     latest = lambda p: {r.userId: r.recs[0].productId for r in keyed.read_latest(spark, p, "userId", schemas.STREAM_RECS).collect()}
-    keyed.upsert_batch(_recs(spark, (1, 10), (2, 20)), path, 0)
-    keyed.upsert_batch(_recs(spark, (2, 21), (3, 30)), path, 1)
+    keyed.store_batch(_recs(spark, (1, 10), (2, 20)), path, 0)
+    keyed.store_batch(_recs(spark, (2, 21), (3, 30)), path, 1)
     assert latest(path) == {1: 10, 2: 21, 3: 30}
-    keyed.upsert_batch(_recs(spark, (2, 22)), path, 1)  # the batch is replayed
+    keyed.store_batch(_recs(spark, (2, 22)), path, 1)  # the batch is replayed
     assert latest(path) == {1: 10, 2: 22}
-    keyed.upsert_batch(_recs(spark, (1, 11)), path, 10)
+    keyed.store_batch(_recs(spark, (1, 11)), path, 10)
     assert latest(path) == {1: 11, 2: 22}
     target = str(tmp_path / "k2")
     keyed.compact(spark, path, target, "userId", schemas.STREAM_RECS)
-    keyed.upsert_batch(_recs(spark, (2, 23)), target, 11)
+    keyed.store_batch(_recs(spark, (2, 23)), target, 11)
     assert latest(target) == {1: 11, 2: 23}
