@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,7 +64,7 @@ def _chunk_outcomes(span: int, chunk_ms: int):
     from ``enter`` on, the chain leaves with ``leave`` (NULL: unchanged).
     """
 
-    def outcomes(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def outcomes(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         user, chunk = key
         ms = np.sort(rows["ms"].to_numpy())
         following = np.searchsorted(ms, ms + span, side="right")
@@ -85,7 +87,7 @@ def _chunk_outcomes(span: int, chunk_ms: int):
     return outcomes
 
 
-def _chunk_entries(key, steps: pd.DataFrame) -> pd.DataFrame:
+def _chunk_entries(key: tuple[Any, ...], steps: pd.DataFrame) -> pd.DataFrame:
     """Follow one user's chunks in time order; the steps hold no logins, only chunk outcomes."""
     covered, out = -(2**62), []
     for chunk, part in steps.sort_values(["chunk", "enter"]).groupby("chunk", sort=True):

@@ -24,6 +24,7 @@ from shelfsense.plans.ranking import nest_ranked, unnest_ranked
 from shelfsense.schemas import HOT_ITEMS, STREAM_RECS
 from shelfsense.session import ROCKSDB_PROVIDER, materialise, new_path
 from shelfsense.sources import order_tables as tables
+from shelfsense.sources.buckets import read_buckets, write_bucketed
 from shelfsense.sources.files import write_by_topic
 from shelfsense.sources.keyed import read_all, read_latest
 from shelfsense.sources.streams import read_lines, to_files
@@ -35,6 +36,7 @@ PATTERN_HOURS = 48
 WIDE_WINDOW, WIDE_SLIDE = 6 * 3600, 3600
 SEARCH = "r.*(bolt|ring)$"
 TOP_N = 20
+USER_BUCKETS = 16
 
 
 # -- statistics and serving ------------------------------------------------------------------------
@@ -364,7 +366,10 @@ def _stream_lists(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit("PRODUCT_RATING_PREFIX:"), F.concat_ws("|", *fields))
     events = logs.parse_ratings(logs.topic_rows(jobs.cleanse(_line_stream(history.select(line.alias("value")))), logs.RATING_TOPIC))
     path = new_path(spark, "stream-recs")
-    writer = jobs.realtime_lists(events, history, similar, path, new_path(spark, "progress"))
+    by_user = new_path(spark, "ratings-by-user")
+    write_bucketed(history, by_user, "userId", USER_BUCKETS)
+    history_of = lambda batch: read_buckets(batch.sparkSession, by_user, batch, "userId", USER_BUCKETS)
+    writer = jobs.realtime_lists(events, history_of, similar, path, new_path(spark, "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
     return unnest_ranked(read_latest(spark, path, "userId", STREAM_RECS), "userId", "productId", "recs")
 

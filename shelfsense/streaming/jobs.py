@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -91,17 +93,24 @@ def login_patterns(
 
 
 def realtime_lists(
-    rating_events: DataFrame, ratings: DataFrame, similar: DataFrame, path: str, checkpoint: str, **options
+    rating_events: DataFrame,
+    ratings: DataFrame | Callable[[DataFrame], DataFrame],
+    similar: DataFrame,
+    path: str,
+    checkpoint: str,
+    **options,
 ) -> DataStreamWriter:
     """Refresh the list of every user in a micro-batch and upsert it under ``path``.
 
-    ``ratings`` and ``similar`` are tables, read anew per batch; the batch joins them as a set.
+    ``ratings`` is the history table, or a function that opens the part of it a batch needs (see
+    :func:`shelfsense.sources.buckets.read_buckets`). The batch joins both tables as a set.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            store_batch(realtime.realtime_recs(rows, ratings, similar, **options), path, batch_id)
+            history = ratings(rows) if callable(ratings) else ratings
+            store_batch(realtime.realtime_recs(rows, history, similar, **options), path, batch_id)
         finally:
             rows.unpersist()
 

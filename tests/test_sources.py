@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from shelfsense import schemas
-from shelfsense.sources import files, keyed
+from shelfsense.sources import buckets, files, keyed
 
 
 def test_products_file(spark, tmp_path):
@@ -56,3 +56,14 @@ def test_keyed_upsert(spark, tmp_path):
     keyed.compact(spark, path, target, "userId", schemas.STREAM_RECS)
     keyed.store_batch(_recs(spark, (2, 23)), target, 11)
     assert latest(target) == {1: 11, 2: 23}
+
+
+def test_buckets_open_only_what_is_asked(spark, tmp_path, rows):
+    path = str(tmp_path / "b")
+    table = spark.createDataFrame([(u, 1, 1.0, u) for u in range(200)], schemas.RATING)
+    buckets.write_bucketed(table, path, "userId", 8)
+    keys = spark.createDataFrame([(5,), (6,)], "userId int")
+    got = buckets.read_buckets(spark, path, keys, "userId", 8)
+    assert {5, 6} <= {r.userId for r in got.collect()} and got.count() < 200
+    assert rows(got.where("userId = 5")) == [(5, 1, 1.0, 5)]
+    assert "PartitionFilters: [bucket" in got._jdf.queryExecution().executedPlan().toString()
