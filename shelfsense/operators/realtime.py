@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsense.functions.scores import PRIORITY_DIGITS, log10_at_least_one, rounded, weighted_mean
 from shelfsense.operators.ratings import latest_rating, recent_ratings
+from shelfsense.plans.joins import hot_keys, spread_join
 from shelfsense.plans.ranking import nest_ranked, ranked, top_k
 
 RECENT = 20
@@ -14,19 +15,25 @@ CANDIDATES = 20
 MIN_SIMILARITY = 0.4
 HIGH_SCORE = 3
 
+EVENTS_PER_TASK = 100_000
 
-def candidates(events: DataFrame, ratings: DataFrame, similar: DataFrame, n: int = CANDIDATES) -> DataFrame:
+
+def candidates(
+    events: DataFrame, ratings: DataFrame, similar: DataFrame, n: int = CANDIDATES, spread: int = EVENTS_PER_TASK
+) -> DataFrame:
     """The ``n`` products most similar to each event's product that its user has not rated.
 
     (userId, rank, candidate). ``similar`` is a ranked similarity table. A user who rated ``r``
-    products can lose at most ``r`` entries of a list, so no list is read beyond rank ``n + r``.
+    products can lose at most ``r`` entries of a list, so no list is read beyond rank ``n + r``. The
+    events of one product beyond ``spread`` are split over several tasks.
     """
     rated = ratings.select("userId", "productId").distinct()
     load = rated.groupBy("userId").agg(F.count(F.lit(1)).alias("_rated"))
     asked = events.select("userId", "productId").join(load, "userId", "left")
     lists = similar.select("productId", F.col("rank").alias("_rank"), F.col("recProductId").alias("candidate"), "score")
     reach = F.col("_rank") <= F.coalesce("_rated", F.lit(0)) + n
-    offered = asked.join(lists, "productId").where(reach)
+    hot = hot_keys(events.select("productId"), "productId", spread)
+    offered = spread_join(asked, lists, "productId", hot).where(reach)
     unseen = offered.join(
         rated.withColumnRenamed("productId", "candidate"), ["userId", "candidate"], "left_anti"
     )

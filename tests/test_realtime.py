@@ -48,3 +48,14 @@ def test_latest_event_of_a_user_counts(spark, history, similar):
     only = history.where("userId = 7 AND productId = 1")
     a = realtime.realtime_scores(events, history, similar).collect()
     assert a == realtime.realtime_scores(only, history, similar).collect()
+
+
+def test_hot_event_products_are_split_without_change(spark, rows):
+    similar = spark.createDataFrame([(1, r, 100 + r, 1 - r / 100) for r in range(1, 41)], schemas.SIMILARITY)
+    events = [(u, 1 if u % 3 else 2, 4.0, u) for u in range(60)]
+    rated = events + [(u, 100 + r, 1.0, 0) for u in range(60) for r in range(u % 7)]
+    event_df, rated_df = (spark.createDataFrame(x, schemas.RATING) for x in (events, rated))
+    whole = rows(realtime.candidates(event_df, rated_df, similar, 5))
+    assert whole == rows(realtime.candidates(event_df, rated_df, similar, 5, spread=4))
+    taken = lambda u: max(0, u % 7 - 1)
+    assert whole == [(u, i + 1, 101 + taken(u) + i) for u in range(60) if u % 3 for i in range(5)]
