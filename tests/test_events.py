@@ -8,7 +8,7 @@ import pytest
 from shelfsense.operators import hotitems, logins, logs
 from shelfsense.schemas import HOT_ITEMS
 from shelfsense.sources.keyed import read_all
-from shelfsense.sources.streams import to_files
+from shelfsense.sources.streams import read_lines, to_console, to_files
 from shelfsense.streaming import jobs
 
 T0 = 1_600_000_000
@@ -177,3 +177,14 @@ def test_late_views_are_dropped(spark, tmp_path):
 def test_columns_of_empty_input(spark):
     empty = spark.createDataFrame([], LOGIN_SCHEMA)
     assert logins.login_bursts(empty).collect() == [] and logins.login_patterns(empty).collect() == []
+
+
+def test_console_and_topic_sinks(spark, tmp_path, rows):
+    source = tmp_path / "log"
+    source.mkdir()
+    (source / "a.txt").write_text("x LOGIN_PREFIX:1|login|2\njunk\nPRODUCT_PV_PREFIX:3|pv|4\n")
+    lines = read_lines(spark, str(source))
+    to_console(jobs.cleanse(lines)).trigger(availableNow=True).start().awaitTermination()
+    out = str(tmp_path / "topics")
+    to_files(jobs.cleanse(lines), out, str(tmp_path / "p"), by_topic=True).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(out).select("topic", "body")) == [("recommender_login", "1|login|2"), ("recommender_pv", "3|pv|4")]
