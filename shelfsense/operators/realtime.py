@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def priority_scores(wanted: DataFrame, recent: DataFrame, similar: DataFrame, th
 def realtime_scores(
     events: DataFrame,
     ratings: DataFrame,
-    similar: DataFrame,
+    similar: DataFrame | Callable[[DataFrame], DataFrame],
     recent_n: int = RECENT,
     candidate_n: int = CANDIDATES,
     threshold: float = MIN_SIMILARITY,
@@ -71,17 +73,26 @@ def realtime_scores(
     """Ranked list for the user of each rating event: (userId, rank, productId, score).
 
     Of several events of one user the latest counts. ``ratings`` is the history, which already
-    holds the events. Only the event users' ratings are read beyond the scan.
+    holds the events. Only the event users' ratings are read beyond the scan. ``similar`` is a
+    similarity table, or a function that opens the part of it with the given productIds.
     """
     last = latest_rating(events)
     history = ratings.join(last.select("userId"), "userId", "left_semi")
-    wanted = candidates(last, history, similar, candidate_n)
-    scored = priority_scores(wanted, recent_ratings(history, recent_n), similar, threshold)
+    if callable(similar):
+        lists = similar(last.select("productId"))
+        wanted = candidates(last, history, lists, candidate_n)
+        lookup = similar(wanted.select(F.col("candidate").alias("productId")))
+    else:
+        lookup = similar
+        wanted = candidates(last, history, similar, candidate_n)
+    scored = priority_scores(wanted, recent_ratings(history, recent_n), lookup, threshold)
     order = [F.desc("score"), F.asc("productId")]
     return ranked(scored, ["userId"], order).select("userId", "rank", "productId", "score")
 
 
-def realtime_recs(events: DataFrame, ratings: DataFrame, similar: DataFrame, **options) -> DataFrame:
+def realtime_recs(
+    events: DataFrame, ratings: DataFrame, similar: DataFrame | Callable[[DataFrame], DataFrame], **options
+) -> DataFrame:
     """One row per event user: (userId, recs), an empty list where nothing qualifies."""
     lists = nest_ranked(realtime_scores(events, ratings, similar, **options), "userId", "productId", "score", "recs")
     users = events.select("userId").distinct()

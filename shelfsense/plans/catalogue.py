@@ -36,7 +36,7 @@ PATTERN_HOURS = 48
 WIDE_WINDOW, WIDE_SLIDE = 6 * 3600, 3600
 SEARCH = "r.*(bolt|ring)$"
 TOP_N = 20
-USER_BUCKETS = 16
+BUCKETS = 16
 
 
 # -- statistics and serving ------------------------------------------------------------------------
@@ -360,16 +360,22 @@ def stream_login_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return _run_to_table(runs, "stream-pattern")
 
 
+def _bucketed(df: DataFrame, name: str, key: str) -> Callable[[DataFrame], DataFrame]:
+    """Store a table by key bucket; the result opens the buckets of the keys it is given."""
+    path = new_path(df.sparkSession, name)
+    write_bucketed(df, path, key, BUCKETS)
+    return lambda keys: read_buckets(keys.sparkSession, path, keys, key, BUCKETS)
+
+
 def _stream_lists(spark: SparkSession, sf: str) -> DataFrame:
-    history, similar = _realtime_inputs(spark, sf)
+    history = tables.ratings(spark, sf)
     fields = [F.col(c).cast("string") for c in ("userId", "productId", "score", "timestamp")]
     line = F.concat(F.lit("PRODUCT_RATING_PREFIX:"), F.concat_ws("|", *fields))
     events = logs.parse_ratings(logs.topic_rows(jobs.cleanse(_line_stream(history.select(line.alias("value")))), logs.RATING_TOPIC))
+    by_user = _bucketed(history, "ratings-by-user", "userId")
+    by_product = _bucketed(content_similar(spark, sf), "similar-by-product", "productId")
     path = new_path(spark, "stream-recs")
-    by_user = new_path(spark, "ratings-by-user")
-    write_bucketed(history, by_user, "userId", USER_BUCKETS)
-    history_of = lambda batch: read_buckets(batch.sparkSession, by_user, batch, "userId", USER_BUCKETS)
-    writer = jobs.realtime_lists(events, history_of, similar, path, new_path(spark, "progress"))
+    writer = jobs.realtime_lists(events, by_user, by_product, path, new_path(spark, "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
     return unnest_ranked(read_latest(spark, path, "userId", STREAM_RECS), "userId", "productId", "recs")
 

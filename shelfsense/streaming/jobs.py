@@ -95,15 +95,16 @@ def login_patterns(
 def realtime_lists(
     rating_events: DataFrame,
     ratings: DataFrame | Callable[[DataFrame], DataFrame],
-    similar: DataFrame,
+    similar: DataFrame | Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
     **options,
 ) -> DataStreamWriter:
     """Refresh the list of every user in a micro-batch and upsert it under ``path``.
 
-    ``ratings`` is the history table, or a function that opens the part of it a batch needs (see
-    :func:`shelfsense.sources.buckets.read_buckets`). The batch joins both tables as a set.
+    ``ratings`` is the history and ``similar`` the similarity table, or functions that open the part
+    of them that holds the given users or products (see
+    :func:`shelfsense.sources.buckets.read_buckets`). The batch joins both as a set.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:

@@ -59,3 +59,10 @@ def test_hot_event_products_are_split_without_change(spark, rows):
     assert whole == rows(realtime.candidates(event_df, rated_df, similar, 5, spread=4))
     taken = lambda u: max(0, u % 7 - 1)
     assert whole == [(u, i + 1, 101 + taken(u) + i) for u in range(60) if u % 3 for i in range(5)]
+
+
+def test_opened_parts_give_the_same_scores(history, similar):
+    event = history.where("userId = 7 AND productId = 1")
+    opened = lambda keys: similar.join(keys.distinct(), "productId", "left_semi")
+    whole = realtime.realtime_scores(event, history, similar).collect()
+    assert whole and whole == realtime.realtime_scores(event, history, opened).collect()
