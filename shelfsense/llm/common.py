@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, budget: int = SLICE_BYT
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

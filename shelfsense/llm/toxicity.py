@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length, with exception phrases.
 
 Folding makes look-alike characters and digit substitutions equal and turns everything that is no letter into a blank. The lexicon holds
-words and beginnings of words whose log-odds in a bounded sample of labelled rows are surely positive. Words that begin alike
+words and beginnings of words that mark toxic rows of a bounded labelled sample beyond chance, with their log-odds. Words that begin alike
 but are harmless there, and phrases that a caller names, are exceptions: hits inside them do not count.
 """
 
@@ -27,9 +27,9 @@ PER_CLASS = 4000
 #: Most entries of the lexicon, and of the learned exceptions; the surest stay.
 MAX_ENTRIES = 5000
 #: Lengths of the beginnings of words that may become entries.
-STEMS = (4, 5, 6)
-#: Standard errors that are taken off the log-odds, and what must be left.
-SURE, LEAST = 2.0, 1.0
+STEMS = (4, 5, 6, 7, 8)
+#: Wrong entries to be expected in the whole lexicon, if labels were dealt at random (Chernoff bound, Bonferroni).
+RISK = 0.5
 
 #: Greek and Cyrillic letters, digits and signs that stand for the Latin letter beside them.
 LOOKALIKES = {
@@ -56,7 +56,8 @@ def _fold_table() -> np.ndarray:
             continue
         if not ch.isalnum():
             continue
-        base = unicodedata.normalize("NFKD", ch.lower())[:1].lower()
+        # Accented Latin letters are letters of their own; other forms of a letter fold to it.
+        base = ch.lower()[:1] if c < 0x250 else unicodedata.normalize("NFKD", ch.lower())[:1].lower()
         base = LOOKALIKES.get(base, base)
         out[c] = ord(base) if base.isalpha() else 32
     out[ord("l")] = out[ord("L")] = ord("i")  # l, I and 1 look alike: one class for text and lexicon
@@ -64,6 +65,11 @@ def _fold_table() -> np.ndarray:
 
 
 _table: list[np.ndarray] = []
+_ACCENTED = re.compile(r" [a-z]*[^ a-z][^ ]*(?= )")
+
+
+def _bare(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 _BETWEEN = re.compile(rf"(?<![^\W\d_])[{re.escape(_SIGNS)}]|[{re.escape(_SIGNS)}](?![^\W\d_])")
 
 
@@ -110,6 +116,11 @@ def measures(folded: str, automaton) -> tuple[float, float, float]:  # noqa: ANN
             spared.append((start, end))
         elif weight > hits.get(start, 0.0):
             hits[start] = weight
+    # Accents can disguise a word too: whole words count without them.
+    for word in _ACCENTED.finditer(folded) if not folded.isascii() else ():
+        found = automaton.get(f"{_bare(word[0])} ", None)
+        if found and found[1] and found[1] > hits.get(word.start(), 0.0):
+            hits[word.start()] = found[1]
     for a, b in spared:
         for start in [s for s in hits if a <= s < b]:
             del hits[start]
@@ -153,9 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per
         return Lexicon({}, spared)
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (sizes[1] + 1.0)) - F.log(b / (sizes[0] + 1.0))
-    surely = odds - SURE * F.sqrt(1 / a + 1 / b)
+    base = sizes[1] / (sizes[0] + sizes[1])
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    # Exponent of the chance that so many of the documents are toxic by accident.
+    against = F.when(share >= 1, F.lit(-math.log(base))).otherwise(share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+    surely = F.when(share > base, (F.col("toxic") + F.col("clean")) * against).otherwise(0.0)
     counts = _counts(rows).select("entry", odds.alias("odds"), surely.alias("surely"), "clean", "toxic").persist()
-    chosen = counts.where(F.col("surely") >= LEAST).orderBy(F.desc("surely"), "entry").limit(MAX_ENTRIES).collect()
+    least = math.log(max(1, counts.where("toxic >= 2").count()) / RISK)
+    chosen = counts.where(F.col("surely") >= least).orderBy(F.desc("surely"), "entry").limit(MAX_ENTRIES).collect()
     entries = {r["entry"]: round(float(r["odds"]), 6) for r in chosen}
     stems = [e for e in entries if not e.endswith(" ")]
     harmless = (
