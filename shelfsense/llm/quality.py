@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from shelfsense.llm.logistic import calibrate, fit, sample_labels, sigmoid
 
 BITS = 15
 #: Most labelled rows of each class that training takes.
-PER_CLASS = 3000
+PER_CLASS = 2000
 MIN_PROBABILITY = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -84,6 +85,9 @@ class QualityModel:
         return float(sigmoid(np.array(z * self.curve[0] + self.curve[1])))
 
 
+_PASS = QualityModel(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, np.array([0.0, 10.0]))
+
+
 def _features(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("held", pa.int32()), ("cells", pa.list_(pa.int32())), ("xs", pa.list_(pa.float32()))])
@@ -110,15 +114,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
     """
     sample = sample_labels(labels, "quality", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("held", F.when(fold_of("doc_id", 3) == 0, 1).otherwise(0))
-    got = _features(rows).toArrow().sort_by([("doc_id", "ascending")]).to_pydict() if sample.take(1) else {"y": []}
-    y = np.array(got["y"], dtype=np.int64)
+    if not sample.take(1):
+        return _PASS
+    got = _features(rows).toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    y = np.asarray(got["y"]).astype(np.int64)
     if len(set(y.tolist())) < 2:
-        return QualityModel(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, np.array([0.0, 10.0]))
-    sizes = [len(c) for c in got["cells"]]
-    at = np.repeat(np.arange(len(y)), sizes)
-    columns = np.array([c for cs in got["cells"] for c in cs], dtype=np.int64)
-    values = np.array([x for xs in got["xs"] for x in xs])
-    held = np.array(got["held"]) == 1
+        return _PASS
+    # Flat arrays, never lists: the sample is small in this form only.
+    sizes = np.asarray(pc.list_value_length(got["cells"]))
+    at = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    columns = np.asarray(pc.list_flatten(got["cells"]))
+    values = np.asarray(pc.list_flatten(got["xs"]))
+    held = np.asarray(got["held"]) == 1
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), dtype=bool)
     own, place = ~held[at], np.cumsum(~held) - 1
