@@ -11,9 +11,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def sample_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def sample_labels(labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, float]:
     """(doc_id, y) of about ``per_class`` labelled rows of each class at most, drawn by a hash of the id.
 
+    The number beside it is what the draw took from the log-odds of class 1; a calibrated curve adds it again.
+
     A doc_id labelled more than once counts with its largest label. Null ids and labels take no part.
     """
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -23,7 +25,7 @@ def sample_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     wanted = F.lit(False)
     for y, s in share.items():
         wanted = wanted | ((F.col("y") == y) & (draw < s))
-    return clean.where(wanted)
+    return clean.where(wanted), float(np.log(share.get(0, 1.0) / share.get(1, 1.0)))
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float, steps: int = 80) -> tuple[np.ndarray, float]:

@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
 
     Without documents of both classes the model lets everything pass.
     """
-    sample = sample_labels(labels, "quality", per_class)
+    sample, shift = sample_labels(labels, "quality", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("held", F.when(fold_of("doc_id", 3) == 0, 1).otherwise(0))
     if not sample.take(1):
         return _PASS
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
     w, b = fit(place[at[own]], columns[own], values[own], y[~held], 2 << BITS, 1e-4)
     z = np.bincount(at, weights=w[columns] * values, minlength=len(y)) + b
     test = held if held.any() else ~held
-    curve = calibrate(z[test, None], y[test])
+    curve = calibrate(z[test, None], y[test]) + np.array([0.0, shift])
     return QualityModel(w[: 1 << BITS].round(6), w[1 << BITS :].round(6), round(b, 6), curve.round(6))
 
 

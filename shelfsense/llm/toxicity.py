@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per
 
     Without rows of both classes the lexicon is empty and every score is low.
     """
-    sample = sample_labels(labels.where(fold_of("doc_id", 5) != 0), "toxic", per_class)
+    sample, shift = sample_labels(labels.where(fold_of("doc_id", 5) != 0), "toxic", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     spared = [fold(p) for p in phrases]
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per
     lexicon = Lexicon(entries, spared + [r["entry"] for r in harmless])
     got = _measure(rows, lexicon, ["doc_id", "y"]).toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
     x = np.column_stack([got["root"], got["share"], got["most"]])
-    lexicon.weights = calibrate(x, np.array(got["y"])).round(6)
+    lexicon.weights = (calibrate(x, np.array(got["y"])) + np.array([0.0, 0.0, 0.0, shift])).round(6)
     return lexicon
 
 
