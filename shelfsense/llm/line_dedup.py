@@ -51,6 +51,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         .agg(F.count("*").alias("_docs"), F.max("doc_id").alias("_keeper"))
         .where(F.col("_docs") >= min_docs)
     )
+    # Written first, so that the join below deals both sides anew and adaptive execution can split a hot line.
+    common = materialise(common, "common-lines")
     dropped = (
         hashed.join(common, ["_h", "_g"])
         .where(F.col("doc_id") != F.col("_keeper"))
