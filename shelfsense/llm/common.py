@@ -18,7 +18,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 _S1, _S2, _S3 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 #: UTF-8 bytes of text that a Python task turns into arrays at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,16 @@ def schema_of(docs: DataFrame, keep: list[str], more: str) -> T.StructType:
     return T.StructType([docs.schema[c] for c in keep] + T.StructType.fromDDL(more).fields)
 
 
+#: Rows of an Arrow batch between Spark and Python; texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are set to ``BATCH_ROWS`` from here on."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, budget: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into slices of at most ``budget`` bytes of text, one row at least, with the texts as a list.
 

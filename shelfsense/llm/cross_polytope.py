@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import table
+from shelfsense.llm.common import small_batches, table
 from shelfsense.session import materialise
 
 TABLES = 12
@@ -91,7 +91,7 @@ def _hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
                                 names=["dim", "table", "bucket", "id", "v"],
                             )
 
-    return rows.select("id", "v", "dim").mapInArrow(run, "dim int, table int, bucket int, id long, v array<double>")
+    return small_batches(rows.select("id", "v", "dim")).mapInArrow(run, "dim int, table int, bucket int, id long, v array<double>")
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _best(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 at = np.repeat(np.arange(len(q_ids)), top.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[top.ravel()]), pa.array(score[at, top.ravel()])], names=["query_id", "rep", "near"])
 
-    return pairs.select("q_ids", "q_vs", "ids", "vs").mapInArrow(run, "query_id long, rep long, near double")
+    return small_batches(pairs.select("q_ids", "q_vs", "ids", "vs")).mapInArrow(run, "query_id long, rep long, near double")
 
 
 def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import fold_of, slices, table
+from shelfsense.llm.common import fold_of, slices, small_batches, table
 
 BITS = 15
 UNKNOWN = "und"
@@ -102,7 +102,7 @@ def train(docs: DataFrame) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "cell", "n"])
 
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", 3) != 1)).select("lang", "text")
-    sums = learn.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = small_batches(learn).mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     lang = np.array(sums["lang"].to_pylist(), dtype=object)
     names = sorted(set(lang.tolist()))
     counts = np.zeros((1 << BITS, len(names)))
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
                 schema=schema,
             )
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string, double>")
+    out = small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string, double>")
     return out.withColumn("held_out", fold_of("doc_id", 3) == 1)
 
 

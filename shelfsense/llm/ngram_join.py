@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import mix, shingle_set, signed, slices, table, words
+from shelfsense.llm.common import mix, shingle_set, signed, slices, small_batches, table, words
 from shelfsense.session import materialise
 
 WIDTH = 5
@@ -28,7 +28,7 @@ PERCENT = 80
 SLOT_BITS = 18
 _CHUNK = 4096
 #: Parts of the hash range whose sizes bound the overlap of two sets from above.
-PARTS = 32
+PARTS = 128
 #: Documents per posting list part, by the shingle's counter.
 LIST = 100_000
 PIVOT_ROUNDS = 2
@@ -63,8 +63,8 @@ def slot_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         yield from _chunks(sums)
 
     kind = "chunk int, n binary"
-    once = docs.select("text").mapInArrow(count, kind).repartition("chunk", F.pmod(F.xxhash64("n"), F.lit(16)))
-    rows = once.mapInArrow(total, kind).repartition("chunk").mapInArrow(total, kind).collect()
+    once = small_batches(docs.select("text")).mapInArrow(count, kind).repartition("chunk", F.pmod(F.xxhash64("n"), F.lit(16)))
+    rows = small_batches(once).mapInArrow(total, kind).repartition("chunk").mapInArrow(total, kind).collect()
     out = np.zeros((1 << SLOT_BITS) // _CHUNK * _CHUNK, np.int64).reshape(-1, _CHUNK)
     for chunk, raw in rows:
         out[chunk] = np.frombuffer(raw, "<u4" if len(raw) == 4 * _CHUNK else "<u8")
@@ -87,7 +87,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
                 n.append(size)
                 f.append(int(signed(np.array([np.bitwise_xor.reduce(mix(own + np.uint64(1)))], np.uint64))[0]) if size else 0)
                 g.append(int(signed(np.array([mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64))[0]) if size else 0)
-                parts.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=PARTS).tolist())
+                parts.append(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=PARTS).tolist())
                 count = often[_slots(own)]
                 first = np.lexsort((own, count))[: size - (-(-percent * size // 100)) + 1] if size else np.empty(0, np.int64)
                 prefix.append(signed(own[first]))
@@ -106,7 +106,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
                 names=["doc_id", "n", "f", "g", "parts", "prefix", "lists"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f long, g long, parts array<int>, prefix array<long>, lists array<int>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n long, f long, g long, parts array<int>, prefix array<long>, lists array<int>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -123,8 +123,12 @@ def _suffix(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa")), "a").join(
         sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb")), "b"
     )
+    return both.where(_near_in_length(F.col("na"), F.col("nb"), percent) & _parts_allow("na", "nb", percent)).select("a", "b")
+
+
+def _parts_allow(na: str, nb: str, percent: int) -> Column:
     most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.where(_near_in_length(F.col("na"), F.col("nb"), percent) & (most >= _needed(F.col("na"), F.col("nb"), percent))).select("a", "b")
+    return most >= _needed(F.col(na), F.col(nb), percent)
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,7 +181,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int =
                     out.append((a, b, both, either))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["a", "b", "both", "either"])
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
+    return small_batches(rows.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long, both long, either long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,20 +268,15 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
             met = rest.join(pivot, "token").where("component <> lo.component")
     # Every pair that is still apart: rows outside the commonest component of a list against all rows of the list.
     common = rest.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
-    marked = rest.join(common, "token")
-    minor = marked.where("component <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("ca"))
-    other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cb"), (F.col("component") == F.col("major")).alias("in_major"))
-    apart = _met(minor.join(other, "token").where("ca <> cb AND (in_major OR a < b)"), percent)
-    # All common prefix shingles of such a pair are here, so the first one bounds the overlap by what follows it.
-    once = (
-        apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("px")).otherwise(F.col("py")).alias("px"), F.when(F.col("a") < F.col("b"), F.col("py")).otherwise(F.col("px")).alias("py"), (F.col("nx") + F.col("ny")).alias("total"), F.when(F.col("a") < F.col("b"), F.col("nx")).otherwise(F.col("ny")).alias("na"))
-        .groupBy("a", "b")
-        .agg(F.min("px").alias("px"), F.min("py").alias("py"), F.first("na").alias("na"), F.first("total").alias("total"))
-        .where(F.least(F.col("na") - F.col("px"), F.col("total") - F.col("na") - F.col("py")) >= _needed(F.col("total"), F.lit(0), percent))
-        .select("a", "b")
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    pairs = materialise(_suffix(once, sizes, percent), "pairs")
+    marked = rest.join(common, "token").join(sizes.select("doc", "parts"), "doc")
+    minor = marked.where("component <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("ca"), F.col("parts").alias("pa"))
+    other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cb"), F.col("parts").alias("pb"), (F.col("component") == F.col("major")).alias("in_major"))
+    # All common prefix shingles of such a pair are here; a pair that links does so at its first one, where only what follows can be shared.
+    nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
+    here = _near_in_length(nx, ny, percent) & (F.least(nx - px, ny - py) >= _needed(nx, ny, percent)) & _parts_allow("nx", "ny", percent)
+    apart = minor.join(other, "token").where("ca <> cb AND (in_major OR a < b)").where(here)
+    once = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = materialise(once, "pairs")
     edges = edges.union(materialise(verify(docs, pairs, width, percent), "links"))
     return prof, labels_with_classes(prof, classes, components(edges))
 

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfsense.llm.common import slices, table
+from shelfsense.llm.common import slices, small_batches, table
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -303,7 +303,7 @@ def encode_documents(docs: DataFrame, path: str, check: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "agrees"][: len(columns)])
 
     kind = "doc_id long, ids array<int>, decoded string" + (", agrees boolean" if check else "")
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, kind)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -323,7 +323,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import fold_of, schema_of, slices, table
+from shelfsense.llm.common import fold_of, schema_of, slices, small_batches, table
 from shelfsense.llm.logistic import calibrate, sample_labels, sigmoid
 
 #: Most labelled rows of each class that training takes.
@@ -148,7 +148,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return sample.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return small_batches(sample).mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per_class: int = PER_CLASS) -> Lexicon:
@@ -197,7 +197,7 @@ def _measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[:, k]) for k in range(3))], names=[*keep, "root", "share", "most"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema_of(docs, keep, "root double, share double, most double"))
+    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema_of(docs, keep, "root double, share double, most double"))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:

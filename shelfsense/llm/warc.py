@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import table
+from shelfsense.llm.common import small_batches, table
 from shelfsense.session import materialise, new_path
 
 #: Fixed values of the ZIP format: signatures and the sizes of the fixed parts.
@@ -220,7 +220,7 @@ def write(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, zip
         if closed:
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "size", "records"), c, strict=True)) for c in closed], schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("records", pa.int64())]))
 
-    return rows.mapInArrow(run, "path string, size long, records long")
+    return small_batches(rows).mapInArrow(run, "path string, size long, records long")
 
 
 _READ = pa.schema(
