@@ -47,15 +47,33 @@ def clean_rating_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(line.contains(prefix)).select(F.lit(RATING_KEY).alias("key"), trim_all(body).alias("body"))
 
 
+#: Largest epoch values a timestamp can hold, in the unit of the log.
+_LONGEST = {"seconds": 2**63 // 10**6, "millis": 2**63 // 10**3 - 1}
+
+
+def _field(body: Column, i: int, kind: str) -> Column:
+    """The field as its kind, NULL where it is not valid: numbers that parse, times in range, finite scores, filled names."""
+    raw = bar_field(body, i)
+    if kind in _LONGEST:
+        time = raw.try_cast("bigint")
+        return F.when(time.between(-_LONGEST[kind], _LONGEST[kind]), time)
+    if kind == "score":
+        score = raw.try_cast("double")
+        return F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score)
+    if kind == "name":
+        return F.when(raw != "", raw)
+    return raw.try_cast(kind)
+
+
 def _parsed(rows: DataFrame, body: str, fields: list[tuple[str, int, str]]) -> DataFrame:
     """All columns of ``rows`` plus one column per (name, position, type), NULL where it does not parse."""
-    columns = [bar_field(F.col(body), i).try_cast(kind).alias(name) for name, i, kind in fields]
+    columns = [_field(F.col(body), i, kind).alias(name) for name, i, kind in fields]
     return rows.select("*", *columns)
 
 
-_RATING_FIELDS = [("userId", 0, "int"), ("productId", 1, "int"), ("score", 2, "double"), ("timestamp", 3, "bigint")]
-_LOGIN_FIELDS = [("userId", 0, "bigint"), ("eventType", 1, "string"), ("_time", 2, "bigint")]
-_VIEW_FIELDS = [("itemId", 0, "int"), ("eventType", 1, "string"), ("_time", 2, "bigint")]
+_RATING_FIELDS = [("userId", 0, "int"), ("productId", 1, "int"), ("score", 2, "score"), ("timestamp", 3, "seconds")]
+_LOGIN_FIELDS = [("userId", 0, "bigint"), ("eventType", 1, "name"), ("_time", 2, "millis")]
+_VIEW_FIELDS = [("itemId", 0, "int"), ("eventType", 1, "name"), ("_time", 2, "seconds")]
 
 
 def _complete(fields) -> Column:
@@ -89,7 +107,7 @@ def quarantine(lines: DataFrame, value: str = "value") -> DataFrame:
     for topic, fields in ((LOGIN_TOPIC, _LOGIN_FIELDS), (RATING_TOPIC, _RATING_FIELDS), (PV_TOPIC, _VIEW_FIELDS)):
         good = F.lit(True)
         for _, i, kind in fields:
-            good = good & bar_field(F.col("body"), i).try_cast(kind).isNotNull()
+            good = good & _field(F.col("body"), i, kind).isNotNull()
         parses = parses | ((F.col("topic") == topic) & good)
     return routed.where(~parses)
 

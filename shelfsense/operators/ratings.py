@@ -32,9 +32,24 @@ def latest_rating(ratings: DataFrame) -> DataFrame:
     )
 
 
-def merge_ratings(existing: DataFrame, updates: DataFrame | None = None) -> DataFrame:
-    """One row per (user, product): a repeat replaces the score and leaves the first time in place."""
-    rows = existing if updates is None else existing.unionByName(updates)
+def merge_ratings(existing: DataFrame, updates: DataFrame | None = None, arrival: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (user, product): the write that arrives last sets the score, the first one the time.
+
+    Updates arrive after all existing rows, whatever their clock says. ``arrival`` names columns that order the rows of
+    one table; without them, time and score do. Columns missing in a table (a merged one has none) count as null.
+    """
+    order = arrival or ("timestamp", "score")
+    kinds = {c: t[c].dataType for t in (existing.schema, updates.schema if updates is not None else existing.schema) for c in order if c in t.names}
+
+    def turn(rows: DataFrame, n: int) -> DataFrame:
+        missing = [c for c in order if c not in rows.columns]
+        return rows.withColumns({"_turn": F.lit(n)} | {c: F.lit(None).cast(kinds[c]) for c in missing}).select(
+            "userId", "productId", F.col("score").alias("_score"), F.col("timestamp").alias("_time"), F.struct("_turn", *order).alias("_seq")
+        )
+
+    rows = turn(existing, 0)
+    if updates is not None:
+        rows = rows.unionByName(turn(updates, 1))
     return rows.groupBy("userId", "productId").agg(
-        F.max(F.struct("timestamp", "score"))["score"].alias("score"), F.min("timestamp").alias("timestamp")
+        F.max_by("_score", "_seq").alias("score"), F.min_by("_time", "_seq").alias("timestamp")
     )

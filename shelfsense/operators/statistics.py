@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsense.functions.scores import year_month
@@ -41,11 +41,16 @@ def average_products(ratings: DataFrame) -> DataFrame:
 
 def hot_products(monthly: DataFrame, n: int) -> DataFrame:
     """Leading products of the newest months, from a monthly count table."""
-    return monthly.orderBy(F.desc("yearmonth"), F.desc("count"), "productId").limit(n)
+    return _first(monthly, [F.desc("yearmonth"), F.desc("count"), F.asc("productId")], n)
 
 
 def most_rated(counts: DataFrame, n: int) -> DataFrame:
-    return counts.orderBy(F.desc("count"), "productId").limit(n)
+    return _first(counts, [F.desc("count"), F.asc("productId")], n)
+
+
+def _first(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The leading ``n`` rows with their ``rank``; only these are ranked."""
+    return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def distinct_users(ratings: DataFrame) -> DataFrame:

@@ -68,18 +68,24 @@ def _means(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.mean_scores(tables.ratings(spark, sf))
 
 
+def _means_of(spark: SparkSession, sf: str, top: DataFrame) -> DataFrame:
+    """Means of the few products of a top list only."""
+    ids = top.select("productId").distinct()
+    return statistics.mean_scores(tables.ratings(spark, sf).join(ids, "productId", "left_semi"))
+
+
 def hot_products_top_n(spark: SparkSession, sf: str) -> DataFrame:
     monthly = statistics.monthly_rating_counts(tables.ratings(spark, sf))
-    top = statistics.hot_products(monthly, TOP_N)
-    return serving.recommended_products(top, tables.products(spark, sf), _means(spark, sf)).select(
-        "productId", "yearmonth", "count", "name", "meanScore"
+    top = materialise(statistics.hot_products(monthly, TOP_N), "hot")
+    return serving.recommended_products(top, tables.products(spark, sf), _means_of(spark, sf, top)).select(
+        "rank", "productId", "yearmonth", "count", "name", "meanScore"
     )
 
 
 def rate_more_top_n(spark: SparkSession, sf: str) -> DataFrame:
-    top = statistics.most_rated(statistics.rating_counts(tables.ratings(spark, sf)), TOP_N)
-    return serving.recommended_products(top, tables.products(spark, sf), _means(spark, sf)).select(
-        "productId", "count", "name", "meanScore"
+    top = materialise(statistics.most_rated(statistics.rating_counts(tables.ratings(spark, sf)), TOP_N), "most-rated")
+    return serving.recommended_products(top, tables.products(spark, sf), _means_of(spark, sf, top)).select(
+        "rank", "productId", "count", "name", "meanScore"
     )
 
 
@@ -150,8 +156,20 @@ def recent_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return ratings.recent_ratings(tables.ratings(spark, sf))
 
 
+ARRIVAL = ("shipDate", "orderKey", "lineNumber")
+
+
 def rating_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return ratings.merge_ratings(tables.ratings(spark, sf))
+    """All order lines in their order of arrival; a repeat replaces the score."""
+    return ratings.merge_ratings(tables.rating_arrivals(spark, sf), arrival=ARRIVAL)
+
+
+def rating_upsert_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The older lines as the table, already merged, and the newer ones as updates."""
+    rows = tables.rating_arrivals(spark, sf)
+    newer = F.col("shipDate") >= F.lit("1995-06-17").cast("timestamp")
+    old = ratings.merge_ratings(rows.where(~newer), arrival=ARRIVAL)
+    return ratings.merge_ratings(old, rows.where(newer), arrival=ARRIVAL)
 
 
 def half_star_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,13 +222,13 @@ def content_topk(spark: SparkSession, sf: str) -> DataFrame:
 def serve_content(spark: SparkSession, sf: str) -> DataFrame:
     products = tables.products(spark, sf)
     served = serving.serve_for_products(
-        products.select("productId"), content_topk(spark, sf), products, _means(spark, sf)
+        products.select("productId"), content_similar(spark, sf), products, _means(spark, sf)
     )
     return served.select("productId", "rank", "recProductId", "score", "name", "meanScore")
 
 
 def content_similar_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    return content.content_similar(content.bucket_tags(tables.products(spark, sf)), k=TOP_N)
+    return content.content_similar(content.bucket_tags(tables.products(spark, sf)))
 
 
 def content_hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,6 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         log_quarantine,
         recent_ratings,
         rating_upsert,
+        rating_upsert_incremental,
         half_star_scores,
         user_hash_id,
         item_cooccurrence,

@@ -18,6 +18,13 @@ _MONTHLY = """monthly AS (
   SELECT "productId", count(*) AS count, strftime(to_timestamp("timestamp") AT TIME ZONE 'UTC', '%Y%m')::INT AS yearmonth
   FROM ratings GROUP BY "productId", yearmonth)"""
 
+_UPSERT = """WITH arrived AS (
+  SELECT o_custkey::INT AS "userId", l_partkey::INT AS "productId", ceil(l_quantity / 10)::DOUBLE AS score,
+         ((epoch_us(l_shipdate) // 1000) // 1000)::BIGINT AS "timestamp",
+         row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT "userId", "productId", arg_max(score, n) AS score, arg_min("timestamp", n) AS "timestamp" FROM arrived GROUP BY ALL"""
+
 _ITEM = """regexp_extract(props, '"k": *([0-9]+)', 1)"""
 
 _LINES = f"""src AS (
@@ -188,11 +195,11 @@ ORACLES: dict[str, str] = {
     "rate_more_recently_sql": f'WITH {_RATINGS}, {_MONTHLY} SELECT "productId", count, yearmonth FROM monthly',
     "average_products": f'WITH {_RATINGS}, {_MEANS} SELECT "productId", mean AS avg FROM means',
     "hot_products_top_n": f"""WITH {_RATINGS}, {_MEANS}, {_MONTHLY}, {_PRODUCT_DETAIL},
-top AS (SELECT * FROM monthly ORDER BY yearmonth DESC, count DESC, "productId" LIMIT {TOP_N})
-SELECT t."productId", t.yearmonth, t.count, d.name, d.score AS "meanScore" FROM top t JOIN detail d USING ("productId")""",
+top AS (SELECT *, row_number() OVER (ORDER BY yearmonth DESC, count DESC, "productId")::INT AS rank FROM monthly)
+SELECT t.rank, t."productId", t.yearmonth, t.count, d.name, d.score AS "meanScore" FROM top t JOIN detail d USING ("productId") WHERE t.rank <= {TOP_N}""",
     "rate_more_top_n": f"""WITH {_RATINGS}, {_MEANS}, {_COUNTS}, {_PRODUCT_DETAIL},
-top AS (SELECT * FROM counts ORDER BY count DESC, "productId" LIMIT {TOP_N})
-SELECT t."productId", t.count, d.name, d.score AS "meanScore" FROM top t JOIN detail d USING ("productId")""",
+top AS (SELECT *, row_number() OVER (ORDER BY count DESC, "productId")::INT AS rank FROM counts)
+SELECT t.rank, t."productId", t.count, d.name, d.score AS "meanScore" FROM top t JOIN detail d USING ("productId") WHERE t.rank <= {TOP_N}""",
     "product_detail": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL} SELECT * FROM detail",
     "product_search": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL} SELECT * FROM detail WHERE regexp_matches(name, '{SEARCH}')",
     "distinct_users": f'WITH {_RATINGS} SELECT DISTINCT "userId" FROM ratings',
@@ -210,10 +217,8 @@ FROM checked WHERE good AND topic = 'recommender_login'""",
 FROM checked WHERE good AND topic = 'recommender_pv'""",
     "log_quarantine": f"WITH {_LINES} SELECT topic, body, value FROM checked WHERE NOT good",
     "recent_ratings": f"WITH {_RATINGS}, {_RECENT} SELECT * FROM recent",
-    "rating_upsert": f"""WITH {_RATINGS}, ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY "userId", "productId" ORDER BY "timestamp" DESC, score DESC) AS back,
-         min("timestamp") OVER (PARTITION BY "userId", "productId") AS first FROM ratings)
-SELECT "userId", "productId", score, first AS "timestamp" FROM ordered WHERE back = 1""",
+    "rating_upsert": _UPSERT,
+    "rating_upsert_incremental": _UPSERT,
     "half_star_scores": "SELECT round((l_quantity / 5) / 2, 2) AS score, count(*) AS lines FROM lineitem GROUP BY 1",
     "user_hash_id": """WITH hashed AS (
   SELECT c_name, list_reduce(list_transform(string_split(c_name, ''), lambda c: unicode(c)::BIGINT),
@@ -231,8 +236,7 @@ SELECT p AS product1, q AS product2, together AS cooccurrence, c1 AS count1, c2
     "content_similar": f"WITH {_CONTENT} SELECT * FROM content",
     "content_topk": f"WITH {_CONTENT} SELECT * FROM content WHERE rank <= {TOP_N}",
     "serve_content": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL}, {_CONTENT} "
-    + _served("content", "productId", "recProductId")
-    + f" WHERE l.rank <= {TOP_N}",
+    + _served("content", "productId", "recProductId"),
     "rmse_of_means": f"""WITH {_RATINGS}, {_MEANS}
 SELECT round(sqrt(avg((score - mean) * (score - mean))), 9) AS rmse FROM ratings JOIN means USING ("productId")""",
     "realtime_candidates": f'{_REALTIME} SELECT "userId", rank, candidate FROM candidates',

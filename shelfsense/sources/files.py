@@ -28,24 +28,45 @@ def _delimited(spark: SparkSession, path: str, names: list[str], sep: str) -> Da
     )
 
 
-def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """Product file: seven ``^``-separated fields, five kept, no quoting; lines without an id go."""
+def _product_rows(spark: SparkSession, path: str) -> DataFrame:
     raw = _delimited(spark, path, PRODUCT_FIELDS, PRODUCT_SEPARATOR)
-    return raw.select(
-        F.expr("try_cast(productId AS INT)").alias("productId"), "name", "imageUrl", "categories", "tags"
-    ).where("productId IS NOT NULL")
+    return raw.withColumn("_id", F.expr("try_cast(productId AS INT)"))
 
 
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Rating file: user, product, score, epoch seconds; lines that do not parse go."""
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """Product file: seven ``^``-separated fields, five kept, no quoting; lines without an id are in :func:`bad_products`."""
+    rows = _product_rows(spark, path).where("_id IS NOT NULL")
+    return rows.select(F.col("_id").alias("productId"), "name", "imageUrl", "categories", "tags")
+
+
+def bad_products(spark: SparkSession, path: str) -> DataFrame:
+    """The fields, as text, of the lines that :func:`read_products` leaves out."""
+    return _product_rows(spark, path).where("_id IS NULL").drop("_id")
+
+
+def _rating_rows(spark: SparkSession, path: str) -> DataFrame:
     raw = _delimited(spark, path, RATING_FIELDS, RATING_SEPARATOR)
-    parsed = raw.select(
+    score = F.expr("try_cast(score AS DOUBLE)")
+    parsed = F.struct(
         F.expr("try_cast(userId AS INT)").alias("userId"),
         F.expr("try_cast(productId AS INT)").alias("productId"),
-        F.expr("try_cast(score AS DOUBLE)").alias("score"),
+        F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score).alias("score"),
         F.expr("try_cast(timestamp AS BIGINT)").alias("timestamp"),
     )
-    return parsed.dropna()
+    whole = F.lit(True)
+    for name in ("userId", "productId", "score", "timestamp"):
+        whole = whole & F.col(f"_parsed.{name}").isNotNull()
+    return raw.withColumn("_parsed", parsed).withColumn("_whole", whole)
+
+
+def read_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """Rating file: user, product, score, epoch seconds; lines that do not parse are in :func:`bad_ratings`."""
+    return _rating_rows(spark, path).where("_whole").select("_parsed.*")
+
+
+def bad_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """The fields, as text, of the lines that :func:`read_ratings` leaves out."""
+    return _rating_rows(spark, path).where("NOT _whole").drop("_parsed", "_whole")
 
 
 def read_table(

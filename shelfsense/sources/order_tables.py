@@ -29,6 +29,21 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rating_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ratings with the columns that give their order of arrival: (shipDate, orderKey, lineNumber)."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").cast("int").alias("userId"),
+        F.col("l_partkey").cast("int").alias("productId"),
+        F.ceil(F.col("l_quantity") / 10).cast("double").alias("score"),
+        F.unix_seconds(_instant("l_shipdate")).alias("timestamp"),
+        _instant("l_shipdate").alias("shipDate"),
+        F.col("l_orderkey").alias("orderKey"),
+        F.col("l_linenumber").alias("lineNumber"),
+    )
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     return parts.select(

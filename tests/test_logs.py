@@ -58,3 +58,20 @@ def test_rating_messages_ignore_other_prefixes(spark):
 def test_ingestion_stamp_has_no_fraction(lines):
     row = logs.stamp_ingestion(lines).first()
     assert row.eventTime.microsecond == 0
+
+
+def test_out_of_range_times_and_odd_scores_are_quarantined(spark):
+    bad = [
+        "PRODUCT_PV_PREFIX:1|pv|99999999999999999",
+        "LOGIN_PREFIX:1|login|9223372036854775807",
+        "LOGIN_PREFIX:1||1590909302000",
+        "PRODUCT_RATING_PREFIX:1|2|NaN|100",
+        "PRODUCT_RATING_PREFIX:1|2|Infinity|100",
+    ]
+    good = ["PRODUCT_PV_PREFIX:1|pv|9223372036854", "LOGIN_PREFIX:1|login|9223372036854774", "PRODUCT_RATING_PREFIX:1|2|3.5|100"]
+    lines = spark.createDataFrame([(x,) for x in bad + good], "value string")
+    assert sorted(r.value for r in logs.quarantine(lines).collect()) == sorted(bad)
+    cleaned = logs.clean_lines(lines)
+    assert logs.parse_page_views(logs.topic_rows(cleaned, logs.PV_TOPIC)).count() == 1
+    assert logs.parse_logins(logs.topic_rows(cleaned, logs.LOGIN_TOPIC)).count() == 1
+    assert logs.parse_ratings(logs.topic_rows(cleaned, logs.RATING_TOPIC)).count() == 1

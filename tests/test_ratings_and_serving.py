@@ -43,6 +43,20 @@ def test_upsert_keeps_first_time(spark, frame, rows):
     assert got == [(1, 10, 3.0, 100), (1, 11, 2.0, 200), (2, 10, 4.0, 50), (2, 12, 5.0, 50), (3, 10, 2.0, 901)]
 
 
+def test_upsert_takes_the_last_write_whatever_its_clock(spark, rows):
+    old = spark.createDataFrame([(1, 1, 5.0, 100), (2, 1, 5.0, 200)], schemas.RATING)
+    new = spark.createDataFrame([(1, 1, 2.0, 100), (2, 1, 1.0, 150)], schemas.RATING)
+    assert rows(ratings.merge_ratings(old, new)) == [(1, 1, 2.0, 100), (2, 1, 1.0, 200)]
+
+
+def test_upsert_orders_one_table_by_arrival(spark, rows):
+    kind = "userId int, productId int, score double, timestamp long, seq int"
+    old = spark.createDataFrame([(1, 1, 5.0, 100, 1), (1, 1, 3.0, 100, 2)], kind)
+    assert rows(ratings.merge_ratings(old, arrival=("seq",))) == [(1, 1, 3.0, 100)]
+    again = ratings.merge_ratings(ratings.merge_ratings(old, arrival=("seq",)), old.limit(1), arrival=("seq",))
+    assert rows(again) == [(1, 1, 5.0, 100)]
+
+
 @pytest.fixture()
 def products(spark):
     return spark.createDataFrame(

@@ -67,3 +67,12 @@ def test_buckets_open_only_what_is_asked(spark, tmp_path, rows):
     assert {5, 6} <= {r.userId for r in got.collect()} and got.count() < 200
     assert rows(got.where("userId = 5")) == [(5, 1, 1.0, 5)]
     assert "PartitionFilters: [bucket" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unreadable_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("1^a^x^y^u^c^t\nx^b^x^y^u^c^t\n")
+    (tmp_path / "r.csv").write_text("1,2,3.5,100\n1,2,NaN,100\n1,2,,100\nx\n")
+    assert [r.productId for r in files.read_products(spark, str(tmp_path / "p.csv")).collect()] == [1]
+    assert [r.productId for r in files.bad_products(spark, str(tmp_path / "p.csv")).collect()] == ["x"]
+    assert files.read_ratings(spark, str(tmp_path / "r.csv")).count() == 1
+    assert files.bad_ratings(spark, str(tmp_path / "r.csv")).count() == 3
