@@ -119,7 +119,8 @@ def _near_in_length(a: Column, b: Column, percent: int) -> Column:
 
 
 def _suffix(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Keep the pairs (a, b) whose parts allow the needed overlap."""
+    """Keep the pairs (a, b) of a written table whose parts allow the needed overlap."""
+    sizes = _named_in(sizes, "doc", pairs).dropDuplicates(["doc"])
     both = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa")), "a").join(
         sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb")), "b"
     )
@@ -131,29 +132,31 @@ def _parts_allow(na: str, nb: str, percent: int) -> Column:
     return most >= _needed(F.col(na), F.col(nb), percent)
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the documents in pairs; a bitmap of fixed size keeps most others from being shuffled."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITS))
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _named_in(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """``rows`` whose key may be in pairs: a bitmap of fixed size keeps most others from being shuffled."""
+
+    def bit(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << _BITS))
+
     maps = (
-        ids.select(bit.alias("bit"))
+        pairs.select(bit("a").alias("bit"))
+        .union(pairs.select(bit("b").alias("bit")))
         .groupBy(F.shiftright("bit", 15).alias("_map"))
         .agg(F.bitmap_construct_agg((F.col("bit") % 32768)).alias("_bits"))
     )
     byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
     return (
-        docs.select("doc_id", "text", bit.alias("_bit"))
+        rows.withColumn("_bit", bit(key))
         .withColumn("_map", F.shiftright("_bit", 15))
         .join(F.broadcast(maps), "_map")
         .where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
+        .select(*rows.columns)
     )
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b, both, either) of the pairs that link, by the sets of their whole texts."""
-    texts = _texts_of(docs, pairs)
+    texts = _named_in(docs.select("doc_id", "text"), "doc_id", pairs).groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
     )
@@ -226,7 +229,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     classes = prof.where("n > 0 AND doc_id IS NOT NULL").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "classes")
     reps = prof.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sizes = prof.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "parts").dropDuplicates(["doc"])
+    sizes = prof.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "parts")
     posts = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode(F.arrays_zip("prefix", "lists")).alias("pos", "at")).select(
         F.col("at.prefix").alias("token"),
         F.pmod(F.xxhash64("doc"), F.col("at.lists")).cast("int").alias("part"),
@@ -245,13 +248,15 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     tried: DataFrame | None = None
-    rest = posts.select("token", "doc", "n", "pos")
+    # A pivot has met its whole list and leaves it; so a list of two ends here.
+    rest = posts.where("salted OR (size > 2 AND doc <> lo.doc)").select("token", "doc", "n", "pos")
     for turn in range(PIVOT_ROUNDS + 1):
         star = _met(
             met.select(F.col("doc").alias("b"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("lo.doc").alias("a"), F.col("lo.n").alias("ny"), F.col("lo.pos").alias("py")), percent
         )
         pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(_suffix(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sizes, percent), "pairs")
+        new = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "met")
+        pairs = materialise(_suffix(new, sizes, percent), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = materialise(verify(docs, pairs, width, percent), "links")
         edges = found if edges is None else edges.union(found)
@@ -263,12 +268,14 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         if rest.isEmpty():
             return prof, labels_with_classes(prof, classes, labels)
         if turn < PIVOT_ROUNDS:
-            order = F.xxhash64("doc", F.lit(turn))
+            order = F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
             pivot = rest.groupBy("token").agg(F.min_by(F.struct("doc", "n", "pos", "component"), order).alias("lo"))
-            met = rest.join(pivot, "token").where("component <> lo.component")
+            turned = materialise(rest.join(pivot, "token"), "turned")
+            met = turned.where("component <> lo.component")
+            rest = turned.where("doc <> lo.doc").drop("lo")
     # Every pair that is still apart: rows outside the commonest component of a list against all rows of the list.
     common = rest.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
-    marked = rest.join(common, "token").join(sizes.select("doc", "parts"), "doc")
+    marked = rest.join(common, "token").join(sizes.dropDuplicates(["doc"]).select("doc", "parts"), "doc")
     minor = marked.where("component <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("ca"), F.col("parts").alias("pa"))
     other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cb"), F.col("parts").alias("pb"), (F.col("component") == F.col("major")).alias("in_major"))
     # All common prefix shingles of such a pair are here; a pair that links does so at its first one, where only what follows can be shared.
