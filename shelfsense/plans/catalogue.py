@@ -269,6 +269,30 @@ def als_best_of_grid(spark: SparkSession, sf: str) -> DataFrame:
     return latent.best_of_grid(als_rmse_grid(spark, sf))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Given vectors as factors; those without a value or with a component that is none are left out."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = tables.table(spark, sf, "embeddings").where(F.col("embedding").isNotNull() & finite)
+    return rows.select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("features"))
+
+
+def vector_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """The similarity of factors on vectors that need no training."""
+    return latent.factor_similar(_vectors(spark, sf))
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return latent.factor_similar(_vectors(spark, sf), k=TOP_N)
+
+
+def damped_rmse_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return latent.damped_grid(tables.ratings(spark, sf))
+
+
+def damped_best_of_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return latent.best_of_grid(damped_rmse_grid(spark, sf), ["damping"])
+
+
 def rmse_of_means(spark: SparkSession, sf: str) -> DataFrame:
     """The error measure itself: every rating predicted by its product's mean."""
     rows = tables.ratings(spark, sf)
@@ -450,6 +474,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         als_item_topk,
         als_rmse_grid,
         als_best_of_grid,
+        vector_similar,
+        vector_topk,
+        damped_rmse_grid,
+        damped_best_of_grid,
         rmse_of_means,
         serve_offline,
         realtime_candidates,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfsense.operators.logins import BURST_MESSAGE, PATTERN_MESSAGE
+from shelfsense.operators.latent import GRID_DAMPING, split_limit
 from shelfsense.plans.catalogue import BURST_HOURS, PATTERN_HOURS, SEARCH, TOP_N, WIDE_SLIDE, WIDE_WINDOW
 
 _RATINGS = """ratings AS (
@@ -133,6 +134,28 @@ realtime AS (
 
 _REALTIME_ROWS = f'{_REALTIME} SELECT "userId", rank, "productId", score FROM realtime'
 
+_VECTORS = """WITH given AS (
+  SELECT vec_id::INT AS id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+units AS (
+  SELECT id, list_transform(e, lambda x: x / norm) AS u
+  FROM (SELECT id, e, sqrt(list_inner_product(e, e)) AS norm FROM given) WHERE norm > 0),
+cosines AS (
+  SELECT a.id AS p, b.id AS q, round(list_inner_product(a.u, b.u), 9) AS score FROM units a JOIN units b ON a.id <> b.id),
+vectors AS (
+  SELECT p AS "productId", row_number() OVER (PARTITION BY p ORDER BY score DESC, q)::INT AS rank, q AS "recProductId", score
+  FROM cosines WHERE score > 0.4)"""
+
+_DAMPED = f"""WITH {_RATINGS},
+drawn AS (
+  SELECT *, substr(md5('42|' || "userId" || '|' || "productId" || '|' || "timestamp"), 1, 8) < '{split_limit()}' AS train FROM ratings),
+sums AS (SELECT "productId", sum(score) AS s, count(*) AS n FROM drawn WHERE train GROUP BY 1),
+dampings AS (SELECT unnest({[float(d) for d in GRID_DAMPING]})::DOUBLE AS damping),
+errors AS (
+  SELECT damping, score - (s + damping * (SELECT avg(score) FROM drawn WHERE train)) / (n + damping) AS e
+  FROM drawn JOIN sums USING ("productId") CROSS JOIN dampings WHERE NOT train),
+grid AS (SELECT damping, round(sqrt(avg(e * e)), 9) AS rmse FROM errors GROUP BY 1)"""
+
 _PRODUCT_DETAIL = """detail AS (
   SELECT p_partkey::INT AS "productId", p_name AS name, 'img/' || p_partkey AS "imageUrl", p_type || '|' || p_brand AS categories,
          replace(p_name, ' ', '|') || '|' || replace(p_type, ' ', '|') || '|' || p_brand AS tags, coalesce(mean, 0.0) AS score
@@ -237,6 +260,10 @@ SELECT p AS product1, q AS product2, together AS cooccurrence, c1 AS count1, c2
     "content_topk": f"WITH {_CONTENT} SELECT * FROM content WHERE rank <= {TOP_N}",
     "serve_content": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL}, {_CONTENT} "
     + _served("content", "productId", "recProductId"),
+    "vector_similar": f"{_VECTORS} SELECT * FROM vectors",
+    "vector_topk": f"{_VECTORS} SELECT * FROM vectors WHERE rank <= {TOP_N}",
+    "damped_rmse_grid": f"{_DAMPED} SELECT damping, rmse FROM grid",
+    "damped_best_of_grid": f"{_DAMPED} SELECT damping, rmse FROM grid ORDER BY rmse, damping LIMIT 1",
     "rmse_of_means": f"""WITH {_RATINGS}, {_MEANS}
 SELECT round(sqrt(avg((score - mean) * (score - mean))), 9) AS rmse FROM ratings JOIN means USING ("productId")""",
     "realtime_candidates": f'{_REALTIME} SELECT "userId", rank, candidate FROM candidates',
