@@ -11,6 +11,7 @@ from shelfsense.functions.scores import PRIORITY_DIGITS, log10_at_least_one, rou
 from shelfsense.operators.ratings import latest_rating, recent_ratings
 from shelfsense.plans.joins import hot_keys, spread_join
 from shelfsense.plans.ranking import nest_ranked, ranked, top_k
+from shelfsense.session import materialise
 
 RECENT = 20
 CANDIDATES = 20
@@ -43,17 +44,33 @@ def candidates(
     return best.select("userId", "rank", "candidate")
 
 
-def priority_scores(wanted: DataFrame, recent: DataFrame, similar: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
+def deepest_rank(ratings: DataFrame, n: int = CANDIDATES) -> int:
+    """Rank beyond which no list is read by :func:`candidates`: ``n`` and the products of the user who rated most."""
+    load = ratings.groupBy("userId").agg(F.count_distinct("productId").alias("_rated"))
+    return n + (load.agg(F.max("_rated")).first()[0] or 0)
+
+
+def priority_scores(
+    wanted: DataFrame,
+    recent: DataFrame,
+    similar: DataFrame | Callable[[DataFrame], DataFrame],
+    threshold: float = MIN_SIMILARITY,
+) -> DataFrame:
     """Score of every candidate against its user's recent ratings: (userId, productId, score).
 
     mean(similarity * rating) + lg(high ratings) - lg(low ratings), over recent ratings whose
     similarity passes the threshold; counts below one read as one. Candidates without any fall out.
+    ``similar`` is a similarity table, or a function that gives the rows of it for given (productId, recProductId).
     """
+    history = recent.select("userId", F.col("productId").alias("ratedId"), F.col("score").alias("rating"))
+    met = wanted.select("userId", "candidate").join(history, "userId")
+    if callable(similar):
+        met = materialise(met, "evidence")
+        similar = similar(met.select(F.col("candidate").alias("productId"), F.col("ratedId").alias("recProductId")))
     lookup = similar.where(F.col("score") > threshold).select(
         F.col("productId").alias("candidate"), F.col("recProductId").alias("ratedId"), F.col("score").alias("similarity")
     )
-    history = recent.select("userId", F.col("productId").alias("ratedId"), F.col("score").alias("rating"))
-    evidence = wanted.select("userId", "candidate").join(history, "userId").join(lookup, ["candidate", "ratedId"])
+    evidence = met.join(lookup, ["candidate", "ratedId"])
     high = F.count_if(F.col("rating") > HIGH_SCORE)
     low = F.count_if(F.col("rating") <= HIGH_SCORE)
     score = weighted_mean(F.col("similarity"), F.col("rating")) + log10_at_least_one(high) - log10_at_least_one(low)
@@ -69,22 +86,22 @@ def realtime_scores(
     recent_n: int = RECENT,
     candidate_n: int = CANDIDATES,
     threshold: float = MIN_SIMILARITY,
+    pair_scores: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked list for the user of each rating event: (userId, rank, productId, score).
 
     Of several events of one user the latest counts. ``ratings`` is the history, which already
     holds the events. Only the event users' ratings are read beyond the scan. ``similar`` is a
-    similarity table, or a function that opens the part of it with the given productIds.
+    similarity table, or a function that opens the part of it with the given productIds. Lists cut at
+    :func:`deepest_rank` do if ``pair_scores`` gives the similarity of (productId, recProductId) pairs.
     """
     last = latest_rating(events)
     history = ratings.join(last.select("userId"), "userId", "left_semi")
-    if callable(similar):
-        lists = similar(last.select("productId"))
-        wanted = candidates(last, history, lists, candidate_n)
-        lookup = similar(wanted.select(F.col("candidate").alias("productId")))
-    else:
-        lookup = similar
-        wanted = candidates(last, history, similar, candidate_n)
+    opened = similar(last.select("productId")) if callable(similar) else similar
+    wanted = candidates(last, history, opened, candidate_n)
+    lookup = pair_scores
+    if lookup is None:
+        lookup = similar(wanted.select(F.col("candidate").alias("productId"))) if callable(similar) else similar
     scored = priority_scores(wanted, recent_ratings(history, recent_n), lookup, threshold)
     order = [F.desc("score"), F.asc("productId")]
     return ranked(scored, ["userId"], order).select("userId", "rank", "productId", "score")

@@ -311,20 +311,28 @@ def serve_offline(spark: SparkSession, sf: str) -> DataFrame:
 # -- realtime --------------------------------------------------------------------------------------
 
 
-def _realtime_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    history = materialise(tables.ratings(spark, sf), "rating-history")
-    similar = materialise(content_similar(spark, sf), "content-similar")
-    return history, similar
+def _lists(spark: SparkSession, sf: str, depth: int, asked: DataFrame | None = None):
+    """Similarity lists down to ``depth``, and the function that scores pairs of products."""
+    members, vectors = content.tag_vectors(tables.products(spark, sf))
+    lists = content.similar_lists(members, vectors, k=depth, asked=asked)
+    profiles = content.tag_profiles(members, vectors)
+    return lists, lambda pairs: content.pair_similarity(pairs, profiles)
 
 
 def realtime_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    history, similar = _realtime_inputs(spark, sf)
-    return realtime.candidates(ratings.latest_rating(history), history, similar)
+    history = materialise(tables.ratings(spark, sf), "rating-history")
+    last = materialise(ratings.latest_rating(history), "latest-ratings")
+    members, vectors = content.tag_vectors(tables.products(spark, sf))
+    lists = content.similar_lists(members, vectors, k=realtime.deepest_rank(history), asked=last)
+    return realtime.candidates(last, history, lists)
 
 
 def realtime_scores(spark: SparkSession, sf: str) -> DataFrame:
-    history, similar = _realtime_inputs(spark, sf)
-    return realtime.realtime_scores(history, history, similar)
+    """Every user's latest rating as the event; no similarity table beyond the lists of the products asked for."""
+    history = materialise(tables.ratings(spark, sf), "rating-history")
+    last = materialise(ratings.latest_rating(history), "latest-ratings")
+    lists, pair_scores = _lists(spark, sf, realtime.deepest_rank(history), last)
+    return realtime.realtime_scores(last, history, lists, pair_scores=pair_scores)
 
 
 # -- page views and logins -------------------------------------------------------------------------
@@ -415,9 +423,10 @@ def _stream_lists(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit("PRODUCT_RATING_PREFIX:"), F.concat_ws("|", *fields))
     events = logs.parse_ratings(logs.topic_rows(jobs.cleanse(_line_stream(history.select(line.alias("value")))), logs.RATING_TOPIC))
     by_user = _bucketed(history, "ratings-by-user", "userId")
-    by_product = _bucketed(content_similar(spark, sf), "similar-by-product", "productId")
+    lists, pair_scores = _lists(spark, sf, realtime.deepest_rank(history))
+    by_product = _bucketed(lists, "similar-by-product", "productId")
     path = new_path(spark, "stream-recs")
-    writer = jobs.realtime_lists(events, by_user, by_product, path, new_path(spark, "progress"))
+    writer = jobs.realtime_lists(events, by_user, by_product, path, new_path(spark, "progress"), pair_scores=pair_scores)
     writer.trigger(availableNow=True).start().awaitTermination()
     return unnest_ranked(read_latest(spark, path, "userId", STREAM_RECS), "userId", "productId", "recs")
 

@@ -66,3 +66,14 @@ def test_opened_parts_give_the_same_scores(history, similar):
     opened = lambda keys: similar.join(keys.distinct(), "productId", "left_semi")
     whole = realtime.realtime_scores(event, history, similar).collect()
     assert whole and whole == realtime.realtime_scores(event, history, opened).collect()
+
+
+def test_cut_lists_with_pair_scores_give_the_same(spark, history, similar):
+    event = history.where("userId = 7 AND productId = 1")
+    depth = realtime.deepest_rank(history, 1)
+    assert depth == 4
+    whole = realtime.realtime_scores(event, history, similar, candidate_n=1).collect()
+    scorer = lambda pairs: similar.join(pairs.distinct(), ["productId", "recProductId"])
+    cut = realtime.realtime_scores(event, history, similar.where(f"rank <= {depth}"), candidate_n=1, pair_scores=scorer)
+    assert whole and whole == cut.collect()
+    assert realtime.deepest_rank(history.limit(0), 5) == 5
