@@ -6,7 +6,10 @@ suffix filters, come together once and are verified on the whole texts.
 
 Equal sets are one representative. Components do not need every link of a dense group: the members of a posting list meet
 a pivot first (lists of frequent shingles are salted, and the pivots of their parts meet the least one). Only pairs that are still in different components
-after a few such rounds are enumerated, all of them, so no link between components is lost and no group is unfolded into its pairs.
+after a few such rounds are enumerated, all of them, so no link between components is lost.
+
+A link never leaves its component, so the links themselves are found component by component: its representatives are cut into blocks, every
+pair of blocks is a tile, and a tile counts the overlaps of its whole texts by a matrix product. Each pair is verified in one tile.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ PARTS = 128
 LIST = 100_000
 PIVOT_ROUNDS = 2
 _BITS = 22
+#: Shingles in a block of a component, about; a document counts ``_LEAST`` more, so that a block of short ones is bounded too.
+TILE = 1 << 18
+_LEAST = 1000
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -223,8 +229,8 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(_near_in_length(nx, ny, percent) & (bound >= _needed(nx, ny, percent)))
 
 
-def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(profiles, components of representatives): see :func:`join`."""
+def connected(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, components of representatives, the links that were verified to find them): see :func:`join`."""
     prof = materialise(profiles(docs, slot_counts(docs, width), width, percent), "profiles")
     classes = prof.where("n > 0 AND doc_id IS NOT NULL").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "classes")
@@ -266,7 +272,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         apart = own.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
         rest = materialise(own.join(apart, "token", "left_semi"), "rest")
         if rest.isEmpty():
-            return prof, labels_with_classes(prof, classes, labels)
+            return prof, labels_with_classes(prof, classes, labels), edges
         if turn < PIVOT_ROUNDS:
             order = F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
             pivot = rest.groupBy("token").agg(F.min_by(F.struct("doc", "n", "pos", "component"), order).alias("lo"))
@@ -285,7 +291,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     once = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     pairs = materialise(once, "pairs")
     edges = edges.union(materialise(verify(docs, pairs, width, percent), "links"))
-    return prof, labels_with_classes(prof, classes, components(edges))
+    return prof, labels_with_classes(prof, classes, components(edges)), edges
 
 
 def labels_with_classes(prof: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,16 +299,54 @@ def labels_with_classes(prof: DataFrame, classes: DataFrame, labels: DataFrame)
     return classes.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("f", "g", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class_id`` (least document with the same set) and ``component_id`` of every document.
+def overlaps(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``low`` (rows) and at ``high`` (columns)."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often[code] > 1)
+    code = (np.cumsum(often > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[shared][order]
+    both = np.zeros((len(low), len(high)), np.int64)
+    for lot in range(0, int(code[-1]) + 1 if len(code) else 0, _CHUNK):
+        own = slice(*np.searchsorted(code, (lot, lot + _CHUNK)))
+        x = np.zeros((len(sets), _CHUNK), np.float32)
+        x[owner[own], code[own] - lot] = 1
+        both += (x[low] @ x[high].T).astype(np.int64)
+    return both
 
-    A document's set holds its distinct ``width``-word shingles (fewer words: the whole sequence). Two documents link
-    when ``100 * both >= percent * either``. A component is closed under links; its id is its least doc_id.
-    Defined cases: a null or empty text, or one of blanks, has an empty set, links with nothing and is its own component; a doc_id names one
-    text, and its repeated rows come back once; a null doc_id has no component; texts may have any length; an empty table gives no
-    rows; further columns are not read.
+
+def every_link(docs: DataFrame, found: DataFrame, edges: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(a, b, both, either), a < b: all links between representatives, given their components and the links that connected those.
+
+    A component of two has its one link already.
     """
-    prof, found = links(docs, width, percent)
+    reps = found.select(F.col("class_id").alias("doc"), "n", "component")
+    groups = reps.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.sum(F.col("n") + _LEAST) / TILE).cast("int").alias("blocks")).where("members > 2")
+    cut = materialise(reps.join(groups, "component").select("doc", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    named = cut.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    texts = _named_in(docs.select("doc_id", "text"), "doc_id", named).groupBy(F.col("doc_id").alias("doc")).agg(F.min("text").alias("text"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "doc")
+    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "text")
+
+    def verified(rows: pa.Table) -> pa.Table:
+        ids, block = np.asarray(rows["doc"]), np.asarray(rows["block"])
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        sets = [shingle_set(words(t), width) for t in rows["text"].to_pylist()]
+        n = np.array([len(s) for s in sets])
+        low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both = overlaps(sets, low, high)
+        either = n[low][:, None] + n[high][None, :] - both
+        near = (both > 0) & (100 * both >= percent * either)
+        at = np.nonzero(np.triu(near, 1) if i == j else near)
+        a, b = ids[low[at[0]]], ids[high[at[1]]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "both": both[at], "either": either[at]})
+
+    inside = small_batches(tiles).groupBy("component", "i", "j").applyInArrow(verified, "a long, b long, both long, either long")
+    return edges.join(cut.select(F.col("doc").alias("a")), "a", "left_anti").select("a", "b", "both", "either").union(inside)
+
+
+def _members(prof: DataFrame, found: DataFrame) -> DataFrame:
     own = prof.select("doc_id", "n", "f", "g").join(found, ["f", "g", "n"], "left")
     alone = F.col("n") == 0
     return own.select(
@@ -313,16 +357,48 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     ).dropDuplicates(["doc_id"])
 
 
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``class_id`` (least document with the same set), ``component_id`` and ``n_links`` of every document.
+
+    A document's set holds its distinct ``width``-word shingles (fewer words: the whole sequence). Two documents link
+    when ``100 * both >= percent * either``. A component is closed under links; its id is its least doc_id. ``n_links`` counts the other
+    documents that link with this one, those with the same set included; :func:`pairs` has the links themselves.
+    Defined cases: a null or empty text, or one of blanks, has an empty set, links with nothing and is its own component; a doc_id names one
+    text, and its repeated rows come back once; a null doc_id has no component and no links; texts may have any length; an empty table gives no
+    rows; further columns are not read.
+    """
+    prof, found, edges = connected(docs, width, percent)
+    every = materialise(every_link(docs, found, edges, width, percent), "every-link")
+    members = materialise(_members(prof, found), "members")
+    copies = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("copies"))
+    sides = every.select(F.col("a").alias("at"), F.col("b").alias("class_id")).union(every.select(F.col("b").alias("at"), F.col("a").alias("class_id")))
+    linked = sides.join(copies, "class_id").groupBy(F.col("at").alias("class_id")).agg(F.sum("copies").alias("linked"))
+    counts = copies.join(linked, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return members.join(counts, "class_id", "left").select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``a``, ``b``, ``both``, ``either`` of every link between representatives (``class_id`` of :func:`join`), a < b, each once."""
+    _, found, edges = connected(docs, width, percent)
+    return every_link(docs, found, edges, width, percent)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id stays, unchanged; documents without words stay."""
-    gone = join(docs).where("component_id < doc_id").select("doc_id")
+    prof, found, _ = connected(docs)
+    gone = _members(prof, found).where("component_id < doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links are found and counted; the columns are those of the SQL. :func:`query_links` gives the links."""
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def query_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(table(spark, sf_dir, "documents"))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -26,6 +26,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_toxicity": toxicity.query,
     "op10_packing": packing.query,
+    "op5_ngram_jaccard_links": ngram_join.query_links,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,

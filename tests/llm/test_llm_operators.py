@@ -144,6 +144,30 @@ def test_long_lists_are_salted_without_loss(spark, monkeypatch):
     assert {r.component_id for r in ngram_join.join(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("tile", [ngram_join.TILE, 6000])
+def test_ngram_join_yields_every_link(spark, empty, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(0, None), (1, "  "), (2, "a b"), (3, "A  b")]
+    for k in range(4, 40):
+        own = list(base)
+        for at in rng.sample(range(40, 100), k % 4):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "") for k, t in [*rows, rows[-1], (None, rows[-1][1])]], KIND)
+    sets = {k: frozenset(shingle_set(words(t)).tolist()) for k, t in rows}
+    near = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    first = {k: min(x for x in sets if sets[x] == sets[k]) for k in sets if sets[k]}
+    reps = set(first.values())
+    want = sorted((a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in near if a < b and {a, b} <= reps)
+    assert len(want) > 2 * len(reps)
+    assert sorted(map(tuple, ngram_join.pairs(docs).collect())) == want
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs).collect()}
+    assert got == {k: sum(a == k for a, _ in near) for k in sets} | {None: 0}
+    assert ngram_join.pairs(empty).count() == 0
+
+
 def test_licenses(spark, empty):
     mit = "Released under the MIT License."
     rows = [(1, f"words\n{mit}\nmore"), (2, "Licensed under CC BY-NC 4.0."), (3, "my driving licence was lost on the way home"), (4, None), (5, "ALL  RIGHTS reserved")]
