@@ -70,6 +70,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """The same words as they stand."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit values."""
     h = (h ^ (h >> _S1)) * _MIX[1]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import fold_of, mix, schema_of, slices, small_batches, table, windows, word_hashes, words
+from shelfsense.llm.common import fold_of, mix, plain_words, schema_of, slices, small_batches, table, windows, word_hashes, words
 from shelfsense.llm.logistic import calibrate, fit, sample_labels, sigmoid
 
 BITS = 15
@@ -30,7 +30,7 @@ _P = tuple(np.uint32(p) for p in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
 def base_counts(text: str | None, ws: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, from the words as they stand and their hashes."""
     if not text:
         return 0, 0, 0, 0, 0
     raw = text.encode("utf-8", "surrogatepass")
@@ -146,10 +146,11 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
         for batch, texts in slices(batches, "text"):
             rows, chance = [], []
             for text in texts:
-                ws = words(text)
+                ws, low = plain_words(text), words(text)
                 hashes = word_hashes(ws)
                 rows.append(base_counts(text, ws, hashes))
-                chance.append(model.probability(text, hashes))
+                # The regression alone takes words in lower case.
+                chance.append(model.probability(text, hashes if low == ws else word_hashes(low)))
             counts = np.array(rows, dtype=np.int64).reshape(len(texts), 5)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(

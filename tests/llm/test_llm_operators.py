@@ -203,6 +203,14 @@ def test_quality_counts_and_labels(spark, docs, empty):
     assert quality.quality(empty, labels).count() == 0
 
 
+def test_quality_repeats_are_of_words_as_they_stand(spark):
+    texts = ["Aa b c d e aa b c d e", "aa b c d e aa b c d e", "ONE two three four five ONE two three four five one"]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(k, t, "", "", 1, "") for k, t in enumerate(texts)], KIND)
+    got = [(r.n_words, r.n_repeat_words, r.base_failed) for r in quality.quality(docs, none).orderBy("doc_id").collect()]
+    assert got == [(10, 0, False), (10, 10, True), (11, 10, True)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é" + "x" * 1200
     rows = [(1, "u1", big), (2, "u2", big), (3, None, None), (4, "u4", ""), (5, "u5", "small"), (6, "u6", "small"), (None, "u", big), (2, "u2", big)]
