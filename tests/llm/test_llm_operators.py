@@ -249,6 +249,23 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_all_stems_of_the_lexicon_get_their_exceptions(spark):
+    heads = [a + b + c + d for a in "bcdfg" for b in "aeo" for c in "mnp" for d in "rst"]
+    bad, good = [f"{h}uzuzu" for h in heads], [f"{h}ika" for h in heads]
+    n = len(heads)
+    toxic = [(k, " ".join(bad[(k + 3 * i) % n] for i in range(40)), "en", "s", 1, "") for k in range(150)]
+    clean = [(150 + k, f"{good[k % n]} {good[(k + 60) % n]} {good[(k + 90) % n]} other words here", "en", "s", 1, "") for k in range(200)]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] < 150)) for r in toxic + clean], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.train(spark.createDataFrame(toxic + clean, KIND), labels)
+    stems = [e for e in lexicon.entries if not e.endswith(" ")]
+    assert len(stems) > 600
+    learned = [r for r in clean if zlib.crc32(str(r[0]).encode()) % 5]
+    want = {w for w in good if sum(w in r[1].split() for r in learned) >= 2 and any(f" {w}".startswith(s) for s in stems)}
+    assert len(want) > 100 and set(lexicon.exceptions) == {f" {w} " for w in want}
+    automaton = lexicon.automaton()
+    assert all(toxicity.measures(toxicity.fold(w), automaton)[2] == 0 for w in want)
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
