@@ -3,7 +3,7 @@
 A table rotates a unit vector by three rounds of random signs and fast Hadamard transform and takes the nearest signed axis as bucket. Queries
 also probe the next axes of each table. Buckets are cut into blocks of bounded size by counts that are known
 beforehand, so that a hot bucket is many blocks; a block of queries meets a block of vectors as one matrix product, and only its best rows
-leave. Equal vectors are one representative until the end.
+leave. Equal vectors are one representative until the end. A query that met few vectors is compared with all.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ TABLES = 12
 PROBES = 10
 BLOCK = 1024
 QUERY_BLOCK = 256
+#: A query whose buckets gave fewer than this times k + 1 vectors is compared with all vectors.
+FEW = 4
 SEED = 20
+_ALL = 1 << 30
 
 
 def rotations(dim: int, tables: int) -> np.ndarray:
@@ -134,7 +137,8 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int =
     """The ``k`` nearest found of each query by cosine: (query_id, rank, vec_id, score).
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on ``vec_id``. A query finds every other row. Ties go to the smaller
-    vec_id. The measure is computed once more, in double precision, on the original vectors of the winners.
+    vec_id. The measure is computed once more, in double precision, on the original vectors of the winners. No list is shorter than
+    ``k`` while there are candidates: queries with few vectors in their buckets get the exact list.
     Defined cases: vectors that are null, zero, empty or hold a null or non-finite component take no part; so do null ids; vectors
     of another length are never neighbours; rows with one vec_id count once; an empty table gives no rows; further columns are not read.
     """
@@ -148,9 +152,19 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int =
     members = member.join(reps, ["h1", "h2"]).select("rep", "id")
     base = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     asking = rows.withColumnRenamed("id", "vec_id").where(is_query).withColumnRenamed("vec_id", "id")
-    found = _best(_blocks(_hashed(asking, tables, probes), QUERY_BLOCK), _blocks(_hashed(base, tables, 1), BLOCK), k + 1).distinct()
+    held = materialise(_hashed(base, tables, 1), "ann-held")
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")
-    found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
+
+    def best(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+        met = _best(_blocks(queries, QUERY_BLOCK), blocks, k + 1).distinct().withColumn("met", F.count("*").over(Window.partitionBy("query_id")))
+        return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("query_id", "rep", "near", "met")
+
+    found = materialise(best(_hashed(asking, tables, probes), _blocks(held, BLOCK)), "ann-found").where(F.col("met") >= FEW * (k + 1))
+    # All axes of one table hold every vector once: exact, and in blocks.
+    short = materialise(asking.join(found.select(F.col("query_id").alias("id")), "id", "left_anti"), "ann-short")
+    if not short.isEmpty():
+        found = found.union(best(_hashed(short, 1, _ALL), _blocks(held.where("table = 0"), BLOCK)))
+    found = found.drop("met")
     found = found.join(members, "rep").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

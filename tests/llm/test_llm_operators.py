@@ -109,6 +109,28 @@ def test_neighbours_reach_recall(spark):
     assert cross_polytope.neighbours(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["few", "opposite"])
+def test_queries_with_empty_buckets_get_whole_lists(spark, kind):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    if kind == "few":
+        x = rng.normal(size=(10, 64))
+    else:
+        x = rng.normal(size=64) + 0.05 * rng.normal(size=(300, 64))
+        x[:3] *= -1
+    table = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(1000, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in cross_polytope.neighbours(table, F.col("vec_id") < 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == {0, 1, 2}
+    for q in got:
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -9
+        assert got[q] == np.argsort(-score, kind="stable")[:5].tolist()
+
+
 def brute_components(rows):
     sets = {k: set(shingle_set(words(t)).tolist()) for k, t in rows}
     root = {k: k for k in sets}
