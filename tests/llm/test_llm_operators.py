@@ -200,6 +200,16 @@ def test_licenses(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licenses_within_lines_and_across_paragraphs(spark):
+    apache, bsd = license_scan.TEMPLATES["Apache-2.0 notice"], license_scan.TEMPLATES["BSD-2-Clause notice"]
+    long = " ".join(f"word{k}" for k in range(300))
+    rows = [(1, "Copyright 2020 Foo Inc. All rights reserved."), (2, f"{long} and so it is released under the MIT License, as {long}"), (3, f"# Foo\n\n{apache.replace('You may', chr(10) * 2 + 'You may').replace('Unless', chr(10) * 2 + 'Unless')}\n\n{long}")]
+    rows += [(4, f"{long}\n{bsd.replace('1. ', chr(10) * 2 + '1. ').replace('2. ', chr(10) * 2 + '2. ')}\n{long}\nAll rights reserved."), (5, f"rights of all {long} reserved")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "") for k, t in rows], KIND)
+    got = sorted((r.doc_id, r.license, r.line, r.n_lines, r.exact) for r in license_scan.scan_licenses(docs).collect())
+    assert got == [(1, "Proprietary", 0, 1, True), (2, "MIT", 0, 1, True), (3, "Apache-2.0 notice", 2, 5, True), (4, "BSD-2-Clause notice", 1, 5, True), (4, "Proprietary", 7, 1, True)]
+
+
 def brute_counts(t):
     ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     low = [w.translate({c: c + 32 for c in range(65, 91)}) for w in ws]
