@@ -7,37 +7,37 @@ place in the one long stream of tokens. The second pass cuts the stored ids at m
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfsense.llm.chunks import ENCODE_BYTES, ChunkTable, per_text, text_column
 from shelfsense.llm.common import slices, small_batches, table
 from shelfsense.session import materialise
 
 WINDOW = 4096
 END_ID = 2
 
-#: Characters for which the tokenizer's normaliser and splitter are these simple rules (no composition, no odd blanks).
-_ODD = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ‘’“”–—…]|<\|")
+#: Characters for which the vocabulary's normaliser and splitter are these simple rules (no composition, no odd blanks).
+_ODD = r"[^\t\n\r -~À-ÖØ-öø-ÿ‘’“”–—…]|<\|"
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-#: Entries a worker keeps before it starts a table anew: chunks between blanks, and pieces.
-_CHUNKS, _PIECES_KEPT = 400_000, 600_000
+#: Pieces a worker keeps before it starts its table anew.
+_PIECES_KEPT = 150_000
 
 
 class WordTokenizer:
     """Token ids of the `tokenizers` library with two tables of known strings in front of it.
 
-    The library cuts a text at blanks and then into pieces before it merges, and each piece is encoded alone. So chunks
-    between blanks are looked up; an unknown chunk is cut into pieces; unknown pieces go to the library's merge model.
+    The library cuts a text at blanks and then into pieces before it merges, and each piece is encoded alone. So Arrow lower-cases the
+    texts, cuts them at blanks and finds the distinct chunks, which are looked up; an unknown chunk is cut into pieces; unknown pieces go
+    to the library's merge model.
     Texts with characters outside plain Latin, where normalising could reach across pieces, go to the library whole.
     """
 
@@ -47,67 +47,39 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.in_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.starts = [0]
-        self.flat = np.empty(0, dtype=np.uint32)
+        self.pieces: dict[str, list[int]] = {}
+        self.table = ChunkTable(self._learn)
 
     @staticmethod
     def _cut(chunk: str) -> list[str]:
         if chunk.isalpha():
             return [chunk]
-        if chunk[-1] in ",." and chunk[:-1].isalpha():
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
         return _SPLIT.findall(chunk)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Append the ids of unknown chunks to the flat table."""
-        gc.disable()  # thousands of small lists, none in a cycle
-        try:
-            self._append(chunks)
-        finally:
-            gc.enable()
-
-    def _append(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of unknown chunks."""
         if len(self.pieces) > _PIECES_KEPT:
             self.pieces = {}
         parts = [self._cut(c) for c in chunks]
         merge, known = self.library.model.tokenize, self.pieces
         for piece in {p for ps in parts for p in ps}.difference(known):
             form = piece if piece.isascii() else self.in_bytes.pre_tokenize_str(piece)[0][0]
-            known[piece] = array("I", [t.id for t in merge(form)]).tobytes()
-        ids = [b"".join([known[p] for p in ps]) for ps in parts]
-        at = len(self.flat)
-        for chunk, own in zip(chunks, ids, strict=True):
-            self.chunks[chunk] = len(self.starts) - 1
-            at += len(own) // 4
-            self.starts.append(at)
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype=np.uint32)])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            known[piece] = [t.id for t in merge(form)]
+        return [known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in parts]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit arrays."""
-        cut = [[] if t is None or _ODD.search(t) else t.lower().split() for t in texts]
-        every = np.array([c for cs in cut for c in cs], dtype=object)
-        codes, distinct = pd.factorize(every) if len(every) else (np.empty(0, np.int64), every)
-        new = [c for c in distinct if c not in self.chunks]
-        if len(self.chunks) + len(new) > _CHUNKS:
-            self._forget()
-            new = list(distinct)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.chunks.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        starts = np.array(self.starts, dtype=np.int64)
-        first, lengths = starts[at][codes], (starts[at + 1] - starts[at])[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)]
-        bounds = ends[np.concatenate([[0], np.cumsum([len(cs) for cs in cut])]).astype(np.int64)]
-        return [
-            ids[bounds[k] : bounds[k + 1]] if cs or not t else self._whole(t)
-            for k, (t, cs) in enumerate(zip(texts, cut, strict=True))
-        ]
+        column = text_column(texts)
+        odd = pc.match_substring_regex(column, _ODD)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", column)))
+        ids, sizes = self.table.take(lists.flatten())
+        bounds = per_text(sizes, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self._whole(column[k].as_py())
+        return out
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -116,7 +88,7 @@ class WordTokenizer:
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
@@ -129,9 +101,9 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFram
     """Ids of every document as little-endian unsigned 32-bit, with its start among the tokens of its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, done = _tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        for batch, texts in slices(batches, "text"):
-            arrays = [np.append(a, np.uint32(end_id)) for a in tokenizer.encode(texts)]
+        own, part, done = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
+        for batch, texts in slices(batches, "text", ENCODE_BYTES):
+            arrays = [np.append(a, np.uint32(end_id)) for a in own.encode(texts)]
             lengths = np.array([len(a) for a in arrays], dtype=np.int64)
             starts = done + np.cumsum(lengths) - lengths
             done += int(lengths.sum())

@@ -3,27 +3,25 @@
 The vocabulary file gives pieces and scores. A text becomes single characters; of all neighbours that form a piece, the
 pair with the best score (leftmost on ties) merges first, until no pair is left; characters without a piece become bytes.
 No piece holds a blank mark behind another character, so a text falls into chunks that never merge across their borders;
-each distinct chunk is encoded once. Short chunks run side by side, one merge each per round, as rows of a matrix; long ones use a heap.
+each distinct chunk is encoded once and compared with the library in batches, texts with odd blanks as a whole; a difference ends the job. Short chunks run side by side, one merge each per round, as rows of a matrix; long ones use a heap.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfsense.llm.chunks import ENCODE_BYTES, SpacedEncoder, text_column
 from shelfsense.llm.common import slices, small_batches, table
 
 MARK = "▁"
-_CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_CHUNKS = 500_000
+_CHUNK = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 _LONG = 40
 _NONE = np.int32(2**31 - 1)
 
@@ -76,12 +74,7 @@ class PieceModel:
         self.high = np.isin(np.arange(n), list(self.byte_of))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in plain):
             raise ValueError("a piece holds a blank mark behind another character, or a line end")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.starts = np.zeros(1, dtype=np.int64)
+        self.tables = SpacedEncoder(self._learn, odd=f"^ |  |{MARK}", pattern=_CHUNK, blank=MARK)
 
     def _finish(self, chunk: str, symbols: list[int], lengths: list[int]) -> list[int]:
         """Symbols without an id become their UTF-8 bytes, or the unknown id."""
@@ -184,39 +177,38 @@ class PieceModel:
             out.update(zip(part, self._side_by_side([rows[k] for k in part]), strict=True))
         return [out[k] for k in range(len(chunks))]
 
-    def _learn(self, new: list[str]) -> None:
-        """Append the ids of unknown chunks; a comma or full stop behind a letter never merges with it and is set apart."""
-        gc.disable()  # many small lists, none in a cycle
-        try:
-            tails = {t for t in ",." if t not in self.after_letter}
-            stems = [c[:-1] if len(c) > 1 and c[-1] in tails and c[-2].isalpha() else c for c in new]
-            alone = list({*stems, *",."})
-            own = dict(zip(alone, self.encode_chunks(alone), strict=True))
-            ids = [own[s] if len(s) == len(c) else own[s] + own[c[-1]] for s, c in zip(stems, new, strict=True)]
-            self.chunks.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=np.uint32)])
-        finally:
-            gc.enable()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text between begin and end id, as unsigned 32-bit arrays."""
-        cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        every = np.array([c for cs in cut for c in cs], dtype=object)
-        codes, distinct = pd.factorize(every) if len(every) else (np.empty(0, np.int64), every)
-        new = [c for c in distinct if c not in self.chunks]
-        if len(self.chunks) + len(new) > _CHUNKS:
-            self._forget()
-            new = list(distinct)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.chunks.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        first, lengths = self.starts[at][codes], (self.starts[at + 1] - self.starts[at])[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)]
-        bounds = ends[np.concatenate([[0], np.cumsum([len(cs) for cs in cut])]).astype(np.int64)]
-        b, e = np.uint32(self.begin), np.uint32(self.end)
-        return [np.concatenate([[b], ids[bounds[k] : bounds[k + 1]], [e]]).astype(np.uint32) for k in range(len(texts))]
+    def _learn(self, new: list[str]) -> list[list[int]]:
+        """Ids of unknown chunks; a line end, and a comma or full stop behind a letter, never merges and is set apart."""
+        tails = {t for t in ",." if t not in self.after_letter}
+        heads = ["\n" if len(c) > 1 and c[0] == "\n" else "" for c in new]
+        bare = [c[1:] if h else c for h, c in zip(heads, new, strict=True)]
+        ends = [c[-1] if len(c) > 1 and c[-1] in tails and c[-2].isalpha() else "" for c in bare]
+        stems = [c[:-1] if e else c for e, c in zip(ends, bare, strict=True)]
+        alone = list({*stems, *",.\n"})
+        own = dict(zip(alone, self.encode_chunks(alone), strict=True)) | {"": []}
+        # A line end in front keeps the library from adding a blank mark, and merges with nothing.
+        theirs = self.library.encode(["\n" + s.replace(MARK, " ") for s in alone], num_threads=1)
+        skip = len(self.library.encode("\n"))
+        if any(own[s] != ids[skip:] for s, ids in zip(alone, theirs, strict=True)):
+            raise ValueError("ids differ from those of the library")
+        return [own[s] if not h and not e else own[h] + own[s] + own[e] for h, s, e in zip(heads, stems, ends, strict=True)]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text between begin and end id, as unsigned 32-bit arrays; an empty text has only these two.
+
+        Raises where the library gives others.
+        """
+        column = text_column(texts)
+        empty = pc.equal(column, "").to_pylist()
+        b, e = [np.uint32(self.begin)], [np.uint32(self.end)]
+        out = [
+            np.concatenate([b, e] if void else [b, ids, e]).astype(np.uint32)
+            for void, ids in zip(empty, self.tables.encode(column), strict=True)
+        ]
+        for k in np.flatnonzero(self.tables.odd_ones(column)).tolist():
+            if out[k].tolist() != self.library.encode(column[k].as_py(), add_bos=True, add_eos=True):
+                raise ValueError("ids differ from those of the library")
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, blank marks to blanks, the first blank dropped, byte pieces back to UTF-8.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from shelfsense.llm import (
+    alignment,
+    best_fit,
     cross_polytope,
     language_mixture,
     license_scan,
@@ -10,6 +12,7 @@ from shelfsense.llm import (
     ngram_join,
     packing,
     piece_bpe,
+    prefix_trie,
     quality,
     toxicity,
     warc,
@@ -26,10 +29,14 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_toxicity": toxicity.query,
     "op10_packing": packing.query,
+    "op11_tokenizer_alignment": alignment.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_best_fit_packing": best_fit.query,
     "op5_ngram_jaccard_links": ngram_join.query_links,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
