@@ -22,7 +22,7 @@ TABLES = 12
 PROBES = 10
 BLOCK = 1024
 QUERY_BLOCK = 256
-#: A query whose buckets gave fewer than this times k + 1 vectors is compared with all vectors.
+#: A query whose buckets gave fewer vectors than this times the length kept for the final measure is compared with all vectors.
 FEW = 4
 SEED = 20
 _ALL = 1 << 30
@@ -139,10 +139,13 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int =
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on ``vec_id``. A query finds every other row. Ties go to the smaller
     vec_id. The measure is computed once more, in double precision, on the original vectors of the winners. No list is shorter than
     ``k`` while there are candidates: queries with few vectors in their buckets get the exact list.
+    The final ranks go by that measure.
     Defined cases: vectors that are null, zero, empty or hold a null or non-finite component take no part; so do null ids; vectors
     of another length are never neighbours; rows with one vec_id count once; an empty table gives no rows; further columns are not read.
     """
     rows = materialise(usable(vectors), "ann-vectors")
+    # Hashing and block products order vectors by a rounded measure; twice the list goes on to the exact one.
+    wide = 2 * (k + 1)
     # Equal vectors share a representative, the smallest id; k + 1 members reach every list, the query's own id included.
     same = rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     member = materialise(
@@ -156,27 +159,31 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int =
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")
 
     def best(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-        met = _best(_blocks(queries, QUERY_BLOCK), blocks, k + 1).distinct().withColumn("met", F.count("*").over(Window.partitionBy("query_id")))
-        return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("query_id", "rep", "near", "met")
+        met = _best(_blocks(queries, QUERY_BLOCK), blocks, wide).distinct().withColumn("met", F.count("*").over(Window.partitionBy("query_id")))
+        return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= wide).select("query_id", "rep", "met")
 
-    found = materialise(best(_hashed(asking, tables, probes), _blocks(held, BLOCK)), "ann-found").where(F.col("met") >= FEW * (k + 1))
+    found = materialise(best(_hashed(asking, tables, probes), _blocks(held, BLOCK)), "ann-found").where(F.col("met") >= FEW * wide)
     # All axes of one table hold every vector once: exact, and in blocks.
     short = materialise(asking.join(found.select(F.col("query_id").alias("id")), "id", "left_anti"), "ann-short")
     if not short.isEmpty():
         found = found.union(best(_hashed(short, 1, _ALL), _blocks(held.where("table = 0"), BLOCK)))
-    found = found.drop("met")
-    found = found.join(members, "rep").where("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = found.drop("met").join(members, "rep").where("id <> query_id")
 
     def dot(a: str, b: str) -> F.Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     cosine = dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v")))
+    # Squares of very large or small components leave the range of doubles; such vectors are scaled by their largest component.
+    largest = F.array_max(F.transform("v", F.abs))
+    safe = rows.select("id", F.when(largest.between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / largest)).alias("v"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-        .join(rows.select("id", "v"), "id")
-        .select("query_id", "rank", F.col("id").alias("vec_id"), cosine.alias("score"))
+        found.join(safe.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+        .join(safe, "id")
+        .select("query_id", F.col("id").alias("vec_id"), cosine.alias("score"))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
     )
 
 

@@ -19,8 +19,11 @@ from shelfsense.llm.common import fold_of, slices, small_batches, table
 
 BITS = 15
 UNKNOWN = "und"
-STEPS = 25
+#: Log-likelihood that expectation-maximisation may leave ungained; the penalty for a language is half the logarithm of the length.
+GAIN = 0.05
 _P = tuple(np.uint32(p) for p in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+#: Unicode has no letter from here on; the last code point below is unassigned.
+_TOP = 0x34000
 _letters: list[np.ndarray] = []
 
 
@@ -29,9 +32,9 @@ def trigrams(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.int64)
     if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x30000)), dtype=bool, count=0x30000))
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(_TOP)), dtype=bool, count=_TOP))
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(_letters[0][np.minimum(code, 0x2FFFF)], code, np.uint32(32))
+    code = np.where(_letters[0][np.minimum(code, _TOP - 1)], code, np.uint32(32))
     blank = code == 32
     code = code[~(blank & np.concatenate([[False], blank[:-1]]))]  # runs of blanks become one
     if len(code) < 3:
@@ -78,10 +81,13 @@ class LanguageModel:
     def _estimate(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Proportions and log-likelihood after expectation-maximisation from equal parts."""
         share = np.full(p.shape[1], 1 / p.shape[1])
-        for _ in range(STEPS):
-            share = share * ((n / (p @ share)) @ p)
+        total = n.sum()
+        while True:
+            slope = (n / (p @ share)) @ p / total
+            share = share * slope
             share /= share.sum()
-        return share, float(n @ np.log(p @ share))
+            if total * (slope.max() - 1) <= GAIN:  # bounds what further steps could gain, the likelihood being concave
+                return share, float(n @ np.log(p @ share))
 
 
 def train(docs: DataFrame) -> LanguageModel:

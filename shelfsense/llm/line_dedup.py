@@ -23,14 +23,15 @@ def line_key(line: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with ``text`` cleaned, plus ``_n_lines`` and ``_n_dropped``; all columns of ``docs`` stay.
+    """``docs`` with ``text`` cleaned, plus ``_n_lines`` and ``_n_dropped``; all columns of ``docs`` stay. Where ``docs`` has a column of
+    one of these two names, the new one gets a further ``_`` in front.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` different doc_ids loses all its lines
     except those in the largest of these doc_ids.
     Defined cases: null or empty text is one empty line and comes back empty; a line repeated inside one document
     counts once for the document, and all its copies go or stay together; rows repeated with one doc_id count as one
     document and are all returned; documents with a null doc_id keep their lines and are not counted; an empty table
-    gives an empty table; further columns pass through (names starting with ``_`` are this function's own).
+    gives an empty table; very long texts are whole; further columns pass through, whatever their names.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     row = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -63,19 +64,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.element_at("_lines", i + 1)
     )
+    # The caller's row travels as one struct, so its names meet none of the names used here.
+    whole = docs.select(F.struct("*").alias("_all"), "doc_id", row.alias("_row"))
+    names = {"n_lines": n.cast("long"), "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")}
+    text = F.when(F.col("_gone").isNull(), F.coalesce("_all.text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    columns = [text.alias("text") if c == "text" else F.col("_all").getField(c).alias(c) for c in docs.columns]
+    for name, value in names.items():
+        shown = f"_{name}"
+        while shown in docs.columns:
+            shown = f"_{shown}"
+        columns.append(value.alias(shown))
     return (
-        docs.withColumn("_row", row)
-        .join(dropped, ["doc_id", "_row"], "left")
-        .withColumn("_lines", lines)
-        .withColumn("_n_lines", n.cast("long"))
-        .withColumn("_n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")))
-        .select(*docs.columns, "_n_lines", "_n_dropped")
+        whole.join(dropped, ["doc_id", "_row"], "left")
+        .withColumn("_lines", F.split(F.coalesce("_all.text", F.lit("")), "\n", -1))
+        .select(*columns)
     )
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the same documents with the dropped lines gone and ``n_chars`` of what is left."""
+    """Pipeline stage: the same documents with the dropped lines gone and ``n_chars`` of what is left; cases as in :func:`dedup_lines`."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

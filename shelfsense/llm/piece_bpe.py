@@ -184,7 +184,7 @@ class PieceModel:
         bare = [c[1:] if h else c for h, c in zip(heads, new, strict=True)]
         ends = [c[-1] if len(c) > 1 and c[-1] in tails and c[-2].isalpha() else "" for c in bare]
         stems = [c[:-1] if e else c for e, c in zip(ends, bare, strict=True)]
-        alone = list({*stems, *",.\n"})
+        alone = list({*stems, *",.\n"} - {""})
         own = dict(zip(alone, self.encode_chunks(alone), strict=True)) | {"": []}
         # A line end in front keeps the library from adding a blank mark, and merges with nothing.
         theirs = self.library.encode(["\n" + s.replace(MARK, " ") for s in alone], num_threads=1)

@@ -24,8 +24,6 @@ from shelfsense.llm.logistic import calibrate, sample_labels, sigmoid
 
 #: Most labelled rows of each class that training takes.
 PER_CLASS = 4000
-#: Most entries of the lexicon; the surest stay.
-MAX_ENTRIES = 5000
 #: Lengths of the beginnings of words that may become entries.
 STEMS = (4, 5, 6, 7, 8)
 #: Wrong entries to be expected in the whole lexicon, if labels were dealt at random (Chernoff bound, Bonferroni).
@@ -43,10 +41,14 @@ LOOKALIKES = {
 _SIGNS = "!|$@€"
 
 
+#: Unicode has no letter from here on; the last code point below is unassigned.
+_TOP = 0x34000
+
+
 def _fold_table() -> np.ndarray:
-    """Folded code point of every code point below 0x30000; 32 for what is no letter, 0 for what disappears."""
-    out = np.full(0x30000, 32, dtype=np.uint32)
-    for c in range(0x30000):
+    """Folded code point of every code point below ``_TOP``; 32 for what is no letter, 0 for what disappears."""
+    out = np.full(_TOP, 32, dtype=np.uint32)
+    for c in range(_TOP):
         ch = chr(c)
         if ch in LOOKALIKES:
             out[c] = ord(LOOKALIKES[ch])
@@ -80,7 +82,7 @@ def fold(text: str | None) -> str:
     if not _table:
         _table.append(_fold_table())
     code = np.frombuffer(_BETWEEN.sub(" ", text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = _table[0][np.minimum(code, 0x2FFFF)]
+    folded = _table[0][np.minimum(code, _TOP - 1)]
     return f" {' '.join(folded[folded > 0].tobytes().decode('utf-32-le').split())} "
 
 
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per
     surely = F.when(share > base, (F.col("toxic") + F.col("clean")) * against).otherwise(0.0)
     counts = _counts(rows).select("entry", odds.alias("odds"), surely.alias("surely"), "clean", "toxic").persist()
     least = math.log(max(1, counts.where("toxic >= 2").count()) / RISK)
-    chosen = counts.where(F.col("surely") >= least).orderBy(F.desc("surely"), "entry").limit(MAX_ENTRIES).collect()
+    chosen = counts.where(F.col("surely") >= least).orderBy(F.desc("surely"), "entry").collect()
     entries = {r["entry"]: round(float(r["odds"]), 6) for r in chosen}
     stems = [e for e in entries if not e.endswith(" ")]
     # Every beginning of a word meets all stems; the sample bounds the number of exceptions.

@@ -63,8 +63,9 @@ def test_pieces_agree_with_the_library(docs, empty):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    got = piece_bpe.encode_documents(docs.where("doc_id <> 7"), path, check=True).collect()
-    assert len(got) == len(SAMPLE) + 1 and all(r.agrees for r in got)
+    more = docs.sparkSession.createDataFrame([(90, "a\x00b a\x00c", "en", "s", 1, ""), (91, "\x00 \x00\x00 x\x00", "en", "s", 1, "")], KIND)
+    got = piece_bpe.encode_documents(docs.union(more), path, check=True).collect()
+    assert len(got) == len(SAMPLE) + 4 and all(r.agrees for r in got)
     own = piece_bpe.model(path)
     for chunk in ["▁hello", "▁▁▁a", "▁" + "ab" * 60, "日本", "x\x00"]:
         ids = own.library.encode(chunk.replace("▁", " ").removeprefix(" ")) if chunk.startswith("▁") else own.agenda(chunk)
