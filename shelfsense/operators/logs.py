@@ -51,15 +51,25 @@ def clean_rating_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 _LONGEST = {"seconds": 2**63 // 10**6, "millis": 2**63 // 10**3 - 1}
 
 
+def valid_time(raw: Column, unit: str) -> Column:
+    """Epoch time written as text, NULL where it does not parse or is no timestamp."""
+    time = raw.try_cast("bigint")
+    return F.when(time.between(-_LONGEST[unit], _LONGEST[unit]), time)
+
+
+def valid_score(raw: Column) -> Column:
+    """Score written as text, NULL where it does not parse or is not finite."""
+    score = raw.try_cast("double")
+    return F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score)
+
+
 def _field(body: Column, i: int, kind: str) -> Column:
     """The field as its kind, NULL where it is not valid: numbers that parse, times in range, finite scores, filled names."""
     raw = bar_field(body, i)
     if kind in _LONGEST:
-        time = raw.try_cast("bigint")
-        return F.when(time.between(-_LONGEST[kind], _LONGEST[kind]), time)
+        return valid_time(raw, kind)
     if kind == "score":
-        score = raw.try_cast("double")
-        return F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score)
+        return valid_score(raw)
     if kind == "name":
         return F.when(raw != "", raw)
     return raw.try_cast(kind)
@@ -108,7 +118,7 @@ def quarantine(lines: DataFrame, value: str = "value") -> DataFrame:
         good = F.lit(True)
         for _, i, kind in fields:
             good = good & _field(F.col("body"), i, kind).isNotNull()
-        parses = parses | ((F.col("topic") == topic) & good)
+        parses = F.when(F.col("topic") == topic, good).otherwise(parses)  # a body meets the rule of its topic alone
     return routed.where(~parses)
 
 

@@ -53,3 +53,12 @@ def merge_ratings(existing: DataFrame, updates: DataFrame | None = None, arrival
     return rows.groupBy("userId", "productId").agg(
         F.max_by("_score", "_seq").alias("score"), F.min_by("_time", "_seq").alias("timestamp")
     )
+
+
+def merge_versions(rows: DataFrame, version: str = "_version") -> DataFrame:
+    """One row per (user, product) of writes with a version: the last write sets the score, the first one the time.
+
+    Writes of one version count in order of time, then score.
+    """
+    seq = F.struct(version, "timestamp", "score")
+    return rows.groupBy("userId", "productId").agg(F.max_by("score", seq).alias("score"), F.min_by("timestamp", seq).alias("timestamp"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from shelfsense.functions.scores import half_star, register_sql_functions
 from shelfsense.operators import (
@@ -21,12 +23,12 @@ from shelfsense.operators import (
     statistics,
 )
 from shelfsense.plans.ranking import nest_ranked, unnest_ranked
-from shelfsense.schemas import HOT_ITEMS, STREAM_RECS
+from shelfsense.schemas import HOT_ITEMS, LATE_VIEWS, PRODUCT, RATING
 from shelfsense.session import ROCKSDB_PROVIDER, materialise, new_path
 from shelfsense.sources import order_tables as tables
 from shelfsense.sources.buckets import read_buckets, write_bucketed
-from shelfsense.sources.files import write_by_topic
-from shelfsense.sources.keyed import read_all, read_latest
+from shelfsense.sources.files import bad_products, bad_ratings, read_products, read_ratings, read_table, write_by_topic, write_table
+from shelfsense.sources.keyed import read_all
 from shelfsense.sources.streams import read_lines, to_files
 from shelfsense.streaming import jobs
 
@@ -149,6 +151,61 @@ def log_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return logs.quarantine(_raw_lines(spark, sf))
 
 
+def log_arrival_stamp(spark: SparkSession, sf: str) -> DataFrame:
+    """Rating messages stamped on arrival; ``stamped`` says that the time is a whole second since the query began."""
+    since = F.date_trunc("second", F.lit(datetime.now(timezone.utc)))
+    rows = logs.stamp_ingestion(log_rating_messages(spark, sf))
+    whole = F.col("eventTime") == F.date_trunc("second", "eventTime")
+    return rows.select("key", "body", (whole & (F.col("eventTime") >= since)).alias("stamped"))
+
+
+# -- file loaders ----------------------------------------------------------------------------------
+
+
+def _product_file(spark: SparkSession, sf: str) -> str:
+    """The products as a file in the loader's format; every 50th line has no usable id."""
+    rows = tables.products(spark, sf)
+    bad = F.when(F.pmod("productId", F.lit(100)) == 0, F.lit("")).when(F.pmod("productId", F.lit(50)) == 0, F.concat(F.lit("x"), F.col("productId").cast("string")))
+    line = F.concat_ws("^", F.coalesce(bad, F.concat(F.lit(" "), F.col("productId").cast("string"))), "name", F.lit("1,2"), F.lit("ext"), "imageUrl", "categories", "tags")
+    path = new_path(spark, "products-file")
+    rows.select(line).write.text(path)
+    return path
+
+
+def _rating_file(spark: SparkSession, sf: str) -> str:
+    """The order lines as a rating file; lines with an order key that 97 divides have a time no clock shows, or no score."""
+    rows = tables.rating_arrivals(spark, sf)
+    odd = F.pmod("orderKey", F.lit(97)) == 0
+    first = F.col("lineNumber") == 1
+    time = F.when(odd & first, F.lit("99999999999999999")).otherwise(F.col("timestamp").cast("string"))
+    score = F.when(odd & ~first, F.lit("none")).otherwise(F.col("score").cast("string"))
+    path = new_path(spark, "ratings-file")
+    rows.select(F.concat_ws(",", F.col("userId").cast("string"), F.col("productId").cast("string"), score, time)).write.text(path)
+    return path
+
+
+def load_products_file(spark: SparkSession, sf: str) -> DataFrame:
+    """File to table and back: lines parsed, stored as a whole table, scanned again."""
+    path = new_path(spark, "products")
+    write_table(read_products(spark, _product_file(spark, sf)), path)
+    return read_table(spark, path, PRODUCT)
+
+
+def load_ratings_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings per user and product of the loaded file, so that lines repeated in it are counted."""
+    path = new_path(spark, "ratings")
+    write_table(read_ratings(spark, _rating_file(spark, sf)), path)
+    rows = read_table(spark, path, RATING)
+    return rows.groupBy("userId", "productId", "score", "timestamp").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def load_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """What the loaders of both files left out, as it stood there, with the number of equal lines."""
+    bad = bad_products(spark, _product_file(spark, sf)).select(F.lit("products").alias("file"), "line")
+    bad = bad.union(bad_ratings(spark, _rating_file(spark, sf)).select(F.lit("ratings"), "line"))
+    return bad.groupBy("file", "line").agg(F.count(F.lit(1)).alias("lines"))
+
+
 # -- rating state ----------------------------------------------------------------------------------
 
 
@@ -417,18 +474,72 @@ def _bucketed(df: DataFrame, name: str, key: str) -> Callable[[DataFrame], DataF
     return lambda keys: read_buckets(keys.sparkSession, path, keys, key, BUCKETS)
 
 
+def _rating_lines(rows: DataFrame) -> DataFrame:
+    fields = [F.col(c).cast("string") for c in ("userId", "productId", "score", "timestamp")]
+    return rows.select(F.concat(F.lit("PRODUCT_RATING_PREFIX:"), F.concat_ws("|", *fields)).alias("value"))
+
+
 def _stream_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The history begins empty: the stream itself writes every rating before it scores the users who rated."""
     history = tables.ratings(spark, sf)
-    fields = [F.col(c).cast("string") for c in ("userId", "productId", "score", "timestamp")]
-    line = F.concat(F.lit("PRODUCT_RATING_PREFIX:"), F.concat_ws("|", *fields))
-    events = logs.parse_ratings(logs.topic_rows(jobs.cleanse(_line_stream(history.select(line.alias("value")))), logs.RATING_TOPIC))
-    by_user = _bucketed(history, "ratings-by-user", "userId")
+    events = logs.parse_ratings(logs.topic_rows(jobs.cleanse(_line_stream(_rating_lines(history))), logs.RATING_TOPIC))
     lists, pair_scores = _lists(spark, sf, realtime.deepest_rank(history))
     by_product = _bucketed(lists, "similar-by-product", "productId")
-    path = new_path(spark, "stream-recs")
-    writer = jobs.realtime_lists(events, by_user, by_product, path, new_path(spark, "progress"), pair_scores=pair_scores)
+    state = jobs.rating_log(spark, new_path(spark, "ratings-by-user"), BUCKETS)
+    served = jobs.list_table(spark, new_path(spark, "stream-recs"), BUCKETS)
+    writer = jobs.realtime_lists(events, state, by_product, served, new_path(spark, "progress"), pair_scores=pair_scores)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return unnest_ranked(read_latest(spark, path, "userId", STREAM_RECS), "userId", "productId", "recs")
+    return unnest_ranked(served.read(), "userId", "productId", "recs")
+
+
+def _in_batches(parts: list[DataFrame], run: Callable[[DataFrame, str], DataStreamWriter], progress: str) -> None:
+    """Append one part of lines after the other to a folder; each is one micro-batch of a query restarted from its checkpoint."""
+    spark = parts[0].sparkSession
+    path = new_path(spark, "lines")
+    for part in parts:
+        part.select("value").write.mode("append").text(path)
+        run(read_lines(spark, path), progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_rating_state(spark: SparkSession, sf: str) -> DataFrame:
+    """All order lines in yearly micro-batches, by two runs with their own checkpoints and a compaction between; the merged history."""
+    rows = materialise(tables.ratings(spark, sf), "rating-history")
+    table = jobs.rating_table(spark, new_path(spark, "rating-state"), BUCKETS)
+    cuts = [F.lit(y).cast("timestamp").cast("long") for y in ("1993-01-01", "1994-01-01", "1995-01-01", "1996-01-01", "1997-01-01", "1998-01-01")]
+    year = sum(((F.col("timestamp") >= c).cast("int") for c in cuts), F.lit(0))
+    parts = [_rating_lines(rows.where(year == k)) for k in range(len(cuts) + 1)]
+
+    def keep(lines: DataFrame, progress: str) -> DataStreamWriter:
+        return jobs.keep_ratings(logs.parse_ratings(logs.topic_rows(jobs.cleanse(lines), logs.RATING_TOPIC)), table, progress)
+
+    _in_batches(parts[:4], keep, new_path(spark, "progress"))
+    table.compact()
+    _in_batches(parts[4:], keep, new_path(spark, "progress"))
+    return table.read()
+
+
+#: Views whose item number this divides reach the log one part later than their time.
+TARDY = 7
+
+
+def stream_late_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Views that come behind the watermark, with the watermark they missed: three stretches of time as micro-batches, some views one later."""
+    views = materialise(tables.page_views(spark, sf).select("itemId", F.unix_seconds("ts").alias("sec")), "views")
+    span = views.agg(F.min("sec").alias("low"), F.max("sec").alias("high"))
+    third = F.floor((F.col("sec") - F.col("low")) * 3 / (F.col("high") - F.col("low") + 1))
+    part = third + (F.pmod("itemId", F.lit(TARDY)) == 0).cast("int")
+    line = F.concat(F.lit("PRODUCT_PV_PREFIX:"), F.concat_ws("|", F.col("itemId").cast("string"), F.lit("pv"), F.col("sec").cast("string")))
+    lines = materialise(views.crossJoin(F.broadcast(span)).select(part.alias("part"), line.alias("value")), "view-lines")  # span is one row
+    path = new_path(spark, "late-views")
+
+    def split(raw: DataFrame, progress: str) -> DataStreamWriter:
+        return jobs.late_rows(logs.parse_page_views(logs.topic_rows(jobs.cleanse(raw), logs.PV_TOPIC)), "ts", 1, path, progress)
+
+    _in_batches([lines.where(F.col("part") == k) for k in range(4)], split, new_path(spark, "progress"))
+    late = read_all(spark, f"{path}/late", LATE_VIEWS)
+    return late.groupBy("itemId", F.unix_seconds("ts").alias("seconds"), (F.col("watermark") / 1_000_000).cast("long").alias("watermark")).agg(
+        F.count(F.lit(1)).alias("views")
+    )
 
 
 def stream_recs(spark: SparkSession, sf: str) -> DataFrame:
@@ -463,6 +574,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         log_clean_logins,
         log_clean_views,
         log_quarantine,
+        log_arrival_stamp,
+        load_products_file,
+        load_ratings_file,
+        load_quarantine,
         recent_ratings,
         rating_upsert,
         rating_upsert_incremental,
@@ -501,5 +616,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_login_pattern,
         stream_recs,
         serve_stream,
+        stream_rating_state,
+        stream_late_views,
     )
 }

@@ -26,6 +26,11 @@ _UPSERT = """WITH arrived AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT "userId", "productId", arg_max(score, n) AS score, arg_min("timestamp", n) AS "timestamp" FROM arrived GROUP BY ALL"""
 
+_RATING_FILE = """WITH file AS (
+  SELECT o_custkey::INT AS "userId", l_partkey::INT AS "productId", ceil(l_quantity / 10)::DOUBLE AS score,
+         ((epoch_us(l_shipdate) // 1000) // 1000)::BIGINT AS "timestamp", l_linenumber AS n, l_orderkey % 97 = 0 AS odd
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
 _ITEM = """regexp_extract(props, '"k": *([0-9]+)', 1)"""
 
 _LINES = f"""src AS (
@@ -242,6 +247,33 @@ FROM checked WHERE good AND topic = 'recommender_pv'""",
     "recent_ratings": f"WITH {_RATINGS}, {_RECENT} SELECT * FROM recent",
     "rating_upsert": _UPSERT,
     "rating_upsert_incremental": _UPSERT,
+    "stream_rating_state": """SELECT o_custkey::INT AS "userId", l_partkey::INT AS "productId",
+       arg_max(ceil(l_quantity / 10)::DOUBLE, l_shipdate::VARCHAR || ' ' || ceil(l_quantity / 10)::INT::VARCHAR) AS score,
+       min((epoch_us(l_shipdate) // 1000) // 1000)::BIGINT AS "timestamp"
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+    "stream_late_views": f"""WITH views AS (
+  SELECT {_ITEM}::INT AS item, ((epoch_us(ts) // 1000) // 1000)::BIGINT AS sec FROM events WHERE event_type = 'view'),
+parts AS (
+  SELECT item, sec, (sec - min(sec) OVER ()) * 3 // (max(sec) OVER () - min(sec) OVER () + 1) + (item % 7 = 0)::INT AS part FROM views),
+marks AS (SELECT p.part, max(e.sec) - 1 AS watermark FROM (SELECT DISTINCT part FROM parts) p JOIN parts e ON e.part < p.part GROUP BY p.part)
+SELECT item AS "itemId", sec AS seconds, watermark, count(*) AS views
+FROM parts JOIN marks USING (part) WHERE sec < watermark GROUP BY ALL""",
+    "log_arrival_stamp": f"""WITH {_LINES} SELECT 'logProcessor' AS "key",
+       trim(split_part(value, 'PRODUCT_RATING_PREFIX:', 2), ' ' || chr(9)) AS body, true AS stamped
+FROM lines WHERE strpos(value, 'PRODUCT_RATING_PREFIX:') > 0""",
+    "load_products_file": """SELECT p_partkey::INT AS "productId", p_name AS name, 'img/' || p_partkey AS "imageUrl",
+       p_type || '|' || p_brand AS categories, replace(p_name, ' ', '|') || '|' || replace(p_type, ' ', '|') || '|' || p_brand AS tags
+FROM part WHERE p_partkey % 50 <> 0""",
+    "load_ratings_file": f"""{_RATING_FILE} SELECT "userId", "productId", score, "timestamp", count(*) AS lines
+FROM file WHERE NOT odd GROUP BY ALL""",
+    "load_quarantine": f"""{_RATING_FILE}, bad AS (
+  SELECT 'ratings' AS file, "userId" || ',' || "productId" || ',' || CASE WHEN odd AND n <> 1 THEN 'none' ELSE score::VARCHAR END || ','
+         || CASE WHEN odd AND n = 1 THEN '99999999999999999' ELSE "timestamp"::VARCHAR END AS line FROM file WHERE odd
+  UNION ALL
+  SELECT 'products', CASE WHEN p_partkey % 100 = 0 THEN '' ELSE 'x' || p_partkey END || '^' || p_name || '^1,2^ext^img/' || p_partkey || '^'
+         || p_type || '|' || p_brand || '^' || replace(p_name, ' ', '|') || '|' || replace(p_type, ' ', '|') || '|' || p_brand
+  FROM part WHERE p_partkey % 50 = 0)
+SELECT file, line, count(*) AS lines FROM bad GROUP BY ALL""",
     "half_star_scores": "SELECT round((l_quantity / 5) / 2, 2) AS score, count(*) AS lines FROM lineitem GROUP BY 1",
     "user_hash_id": """WITH hashed AS (
   SELECT c_name, list_reduce(list_transform(string_split(c_name, ''), lambda c: unicode(c)::BIGINT),

@@ -76,6 +76,8 @@ SIMILARITY = T.StructType(
     ]
 )
 
+LATE_VIEWS = T.StructType([*PAGE_VIEW.fields, T.StructField("watermark", T.LongType())])
+
 HOT_ITEMS = T.StructType(
     [
         T.StructField("windowEnd", T.LongType()),

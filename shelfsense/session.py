@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _local_dir: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -26,7 +29,19 @@ def build_session(app: str = "shelfsense", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return configure(builder.getOrCreate())
+    return ship(configure(builder.getOrCreate()))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package, once per application; they may have been started anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        root, name = os.path.split(package)
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="shelfsense-"), name), "zip", root, name)
+        sc.addPyFile(archive)  # Spark itself carries the file to every executor
+        _shipped.add(sc.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

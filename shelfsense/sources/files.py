@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfsense.functions.text import trim_all
+from shelfsense.operators.logs import valid_score, valid_time
 from shelfsense.schemas import conform
 
 # Delimiters and field positions of the two input file formats.
@@ -16,16 +17,15 @@ RATING_SEPARATOR = ","
 RATING_FIELDS = ["userId", "productId", "score", "timestamp"]
 
 
+#: The line as it stands in the file.
+LINE = "line"
+
+
 def _delimited(spark: SparkSession, path: str, names: list[str], sep: str) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("quote", "")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-        .select(*[trim_all(F.col(n)).alias(n) for n in names])
-    )
+    """(line, one column per name): trimmed fields, null where empty or missing; fields beyond the names and blank lines are left out."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias(LINE), F.split("value", f"\\{sep}", -1).alias("_fields"))
+    field = [F.get("_fields", F.lit(i)) for i in range(len(names))]
+    return lines.select(LINE, *(F.when(f != "", trim_all(f)).alias(n) for f, n in zip(field, names, strict=True)))
 
 
 def _product_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -40,18 +40,17 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bad_products(spark: SparkSession, path: str) -> DataFrame:
-    """The fields, as text, of the lines that :func:`read_products` leaves out."""
+    """The lines that :func:`read_products` leaves out, as they stand, and their fields as text."""
     return _product_rows(spark, path).where("_id IS NULL").drop("_id")
 
 
 def _rating_rows(spark: SparkSession, path: str) -> DataFrame:
     raw = _delimited(spark, path, RATING_FIELDS, RATING_SEPARATOR)
-    score = F.expr("try_cast(score AS DOUBLE)")
     parsed = F.struct(
         F.expr("try_cast(userId AS INT)").alias("userId"),
         F.expr("try_cast(productId AS INT)").alias("productId"),
-        F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score).alias("score"),
-        F.expr("try_cast(timestamp AS BIGINT)").alias("timestamp"),
+        valid_score(F.col("score")).alias("score"),
+        valid_time(F.col("timestamp"), "seconds").alias("timestamp"),
     )
     whole = F.lit(True)
     for name in ("userId", "productId", "score", "timestamp"):
@@ -60,12 +59,12 @@ def _rating_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Rating file: user, product, score, epoch seconds; lines that do not parse are in :func:`bad_ratings`."""
+    """Rating file: user, product, score, epoch seconds; lines that do not parse, by the rule of the log parsers, are in :func:`bad_ratings`."""
     return _rating_rows(spark, path).where("_whole").select("_parsed.*")
 
 
 def bad_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """The fields, as text, of the lines that :func:`read_ratings` leaves out."""
+    """The lines that :func:`read_ratings` leaves out, as they stand, and their fields as text."""
     return _rating_rows(spark, path).where("NOT _whole").drop("_parsed", "_whole")
 
 

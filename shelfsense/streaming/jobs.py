@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from shelfsense.operators import hotitems, logins, logs, realtime
-from shelfsense.sources.keyed import store_batch
+from shelfsense import schemas
+from shelfsense.operators import hotitems, logins, logs, ratings, realtime
+from shelfsense.sources.keyed import BATCH, KeyedTable, last_write, store_batch
 from shelfsense.streaming.processors import BurstMonitor, PatternMonitor
 
 TRIGGER = "2 seconds"
@@ -92,28 +94,88 @@ def login_patterns(
     )
 
 
+#: Micro-batches whose deltas pile up before a keyed table is folded.
+FOLD_AFTER = 16
+
+
+def _store(table: KeyedTable, rows: DataFrame, epoch: int, batch_id: int) -> None:
+    table.put(rows, epoch, batch_id)
+    if table.deltas() > FOLD_AFTER:
+        table.compact()
+        table.vacuum()
+
+
+def rating_table(spark: SparkSession, path: str, buckets: int) -> KeyedTable:
+    """Rating history by user: one row per (user, product), the last write sets the score and the first one the time."""
+    return KeyedTable(spark, path, schemas.RATING, "userId", buckets, ratings.merge_versions)
+
+
+def rating_log(spark: SparkSession, path: str, buckets: int) -> KeyedTable:
+    """Rating history by user in which every rating is a row."""
+    return KeyedTable(spark, path, schemas.RATING, "userId", buckets, lambda rows: rows)
+
+
+def list_table(spark: SparkSession, path: str, buckets: int) -> KeyedTable:
+    """One live list per user."""
+    return KeyedTable(spark, path, schemas.STREAM_RECS, "userId", buckets, last_write(["userId"], ["recs"]))
+
+
+def keep_ratings(rating_events: DataFrame, table: KeyedTable, checkpoint: str) -> DataStreamWriter:
+    """Write every rating of a stream to the history."""
+    epoch = table.claim(checkpoint)
+    return rating_events.writeStream.foreachBatch(lambda rows, batch_id: _store(table, rows, epoch, batch_id)).option(
+        "checkpointLocation", checkpoint
+    )
+
+
 def realtime_lists(
     rating_events: DataFrame,
-    ratings: DataFrame | Callable[[DataFrame], DataFrame],
+    history: KeyedTable,
     similar: DataFrame | Callable[[DataFrame], DataFrame],
-    path: str,
+    lists: KeyedTable,
     checkpoint: str,
     **options,
 ) -> DataStreamWriter:
-    """Refresh the list of every user in a micro-batch and upsert it under ``path``.
+    """Write the ratings of a micro-batch to the history, then refresh and store the list of every user in it.
 
-    ``ratings`` is the history and ``similar`` the similarity table, or functions that open the part
-    of them that holds the given users or products (see
-    :func:`shelfsense.sources.buckets.read_buckets`). The batch joins both as a set.
+    ``similar`` is the similarity table, or a function that opens the part of it that holds the given products (see
+    :func:`shelfsense.sources.buckets.read_buckets`). The history is read after the write, for the users of the batch alone, so what a user
+    has just rated is known as rated. The batch joins both as a set. A replayed batch writes both deltas anew.
     """
+    epochs = history.claim(checkpoint), lists.claim(checkpoint)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            history = ratings(rows) if callable(ratings) else ratings
-            store_batch(realtime.realtime_recs(rows, history, similar, **options), path, batch_id)
+            _store(history, rows, epochs[0], batch_id)
+            known = history.read(rows)
+            _store(lists, realtime.realtime_recs(rows, known, similar, **options), epochs[1], batch_id)
         finally:
             rows.unpersist()
 
     writer = rating_events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=TRIGGER)
+
+
+def late_rows(rows: DataFrame, time: str, delay_seconds: float, table_path: str, checkpoint: str) -> DataStreamWriter:
+    """Side output: rows that are behind the watermark when their micro-batch begins, stored with the watermark they missed.
+
+    The watermark of a batch is the largest time of all earlier batches less the delay; each batch stores that one number for the next, and
+    the first has none. These are the rows that an event-time operator with this delay may drop.
+    """
+    spark = rows.sparkSession
+    passed = T.StructType([T.StructField("most", T.LongType())])
+    micros = F.unix_micros(F.col(time))
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.persist()
+        try:
+            before = spark.read.schema(passed).parquet(f"{table_path}/marks/{BATCH}={batch_id - 1}").first()[0] if batch_id else None
+            mark = None if before is None else before - int(delay_seconds * 1_000_000)
+            behind = seen.where(micros < mark) if mark is not None else seen.limit(0)
+            store_batch(behind.withColumn("watermark", F.lit(mark).cast("long")), f"{table_path}/late", batch_id)
+            store_batch(seen.agg(F.greatest(F.max(micros), F.lit(before).cast("long")).alias("most")), f"{table_path}/marks", batch_id)
+        finally:
+            seen.unpersist()
+
+    return rows.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
