@@ -316,34 +316,69 @@ def overlaps(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.nd
     return both
 
 
-def every_link(docs: DataFrame, found: DataFrame, edges: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(a, b, both, either), a < b: all links between representatives, given their components and the links that connected those.
+def _tiles(docs: DataFrame, found: DataFrame, edges: DataFrame, copies: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Tiles of two blocks of a component's representatives with their texts (and number of copies), and the links of components of two.
 
     A component of two has its one link already.
     """
     reps = found.select(F.col("class_id").alias("doc"), "n", "component")
     groups = reps.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.sum(F.col("n") + _LEAST) / TILE).cast("int").alias("blocks")).where("members > 2")
-    cut = materialise(reps.join(groups, "component").select("doc", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    cut = reps.join(groups, "component").select("doc", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    weighed = cut.withColumn("copies", F.lit(1)) if copies is None else cut.join(copies.select(F.col("class_id").alias("doc"), "copies"), "doc")
+    cut = materialise(weighed.select("doc", "component", "blocks", "block", F.col("copies").cast("long").alias("copies")), "blocks")
     named = cut.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     texts = _named_in(docs.select("doc_id", "text"), "doc_id", named).groupBy(F.col("doc_id").alias("doc")).agg(F.min("text").alias("text"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "doc")
-    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "text")
+    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "copies", "text")
+    return small_batches(tiles), edges.join(cut.select(F.col("doc").alias("a")), "a", "left_anti").select("a", "b", "both", "either")
 
-    def verified(rows: pa.Table) -> pa.Table:
-        ids, block = np.asarray(rows["doc"]), np.asarray(rows["block"])
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+
+class _Tile:
+    """All pairs of a tile, verified on whole texts."""
+
+    def __init__(self, rows: pa.Table, width: int, percent: int) -> None:
+        block, i, j = np.asarray(rows["block"]), rows["i"][0].as_py(), rows["j"][0].as_py()
         sets = [shingle_set(words(t), width) for t in rows["text"].to_pylist()]
         n = np.array([len(s) for s in sets])
-        low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        both = overlaps(sets, low, high)
-        either = n[low][:, None] + n[high][None, :] - both
-        near = (both > 0) & (100 * both >= percent * either)
-        at = np.nonzero(np.triu(near, 1) if i == j else near)
-        a, b = ids[low[at[0]]], ids[high[at[1]]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "both": both[at], "either": either[at]})
+        self.ids, self.low, self.high = np.asarray(rows["doc"]), np.flatnonzero(block == i), np.flatnonzero(block == j)
+        self.both = overlaps(sets, self.low, self.high)
+        self.either = n[self.low][:, None] + n[self.high][None, :] - self.both
+        near = (self.both > 0) & (100 * self.both >= percent * self.either)
+        #: A link per pair, above the diagonal where the tile is a block with itself.
+        self.near = np.triu(near, 1) if i == j else near
+
+
+def every_link(docs: DataFrame, found: DataFrame, edges: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(a, b, both, either), a < b: all links between representatives, given their components and the links that connected those."""
+    tiles, outside = _tiles(docs, found, edges, None)
+
+    def verified(rows: pa.Table) -> pa.Table:
+        tile = _Tile(rows, width, percent)
+        at = np.nonzero(tile.near)
+        a, b = tile.ids[tile.low[at[0]]], tile.ids[tile.high[at[1]]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "both": tile.both[at], "either": tile.either[at]})
+
+    inside = tiles.groupBy("component", "i", "j").applyInArrow(verified, "a long, b long, both long, either long")
+    return outside.union(inside)
+
+
+def linked_copies(docs: DataFrame, found: DataFrame, edges: DataFrame, copies: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(class_id, linked): how many documents of other classes each class links with. A tile returns one sum per class it holds, not its links."""
+    tiles, outside = _tiles(docs, found, edges, copies)
+
+    def counted(rows: pa.Table) -> pa.Table:
+        tile, weight = _Tile(rows, width, percent), np.asarray(rows["copies"])
+        near = tile.near.astype(np.int64)
+        linked = np.zeros(len(weight), np.int64)
+        np.add.at(linked, tile.low, near @ weight[tile.high])
+        np.add.at(linked, tile.high, near.T @ weight[tile.low])
+        own = np.flatnonzero(linked)
+        return pa.table({"class_id": tile.ids[own], "linked": linked[own]})
 
-    inside = small_batches(tiles).groupBy("component", "i", "j").applyInArrow(verified, "a long, b long, both long, either long")
-    return edges.join(cut.select(F.col("doc").alias("a")), "a", "left_anti").select("a", "b", "both", "either").union(inside)
+    inside = tiles.groupBy("component", "i", "j").applyInArrow(counted, "class_id long, linked long")
+    sides = outside.select(F.col("a").alias("at"), F.col("b").alias("class_id")).union(outside.select(F.col("b").alias("at"), F.col("a").alias("class_id")))
+    two = sides.join(copies, "class_id").select(F.col("at").alias("class_id"), F.col("copies").alias("linked"))
+    return inside.union(two).groupBy("class_id").agg(F.sum("linked").alias("linked"))
 
 
 def _members(prof: DataFrame, found: DataFrame) -> DataFrame:
@@ -368,13 +403,11 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     rows; further columns are not read.
     """
     prof, found, edges = connected(docs, width, percent)
-    every = materialise(every_link(docs, found, edges, width, percent), "every-link")
     members = materialise(_members(prof, found), "members")
-    copies = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("copies"))
-    sides = every.select(F.col("a").alias("at"), F.col("b").alias("class_id")).union(every.select(F.col("b").alias("at"), F.col("a").alias("class_id")))
-    linked = sides.join(copies, "class_id").groupBy(F.col("at").alias("class_id")).agg(F.sum("copies").alias("linked"))
+    copies = materialise(members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("copies")), "copies")
+    linked = materialise(linked_copies(docs, found, edges, copies, width, percent), "linked")
     counts = copies.join(linked, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return members.join(counts, "class_id", "left").select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(counts, "class_id", "left").select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -391,8 +424,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All links are found and counted; the columns are those of the SQL. :func:`query_links` gives the links."""
-    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """Classes, components and the number of links of every document; :func:`query_links` gives the links."""
+    return join(table(spark, sf_dir, "documents"))
 
 
 def query_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,6 +443,10 @@ n AS (SELECT w.doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY
 h AS (SELECT doc_id, hash(sh) AS sh FROM s),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM h x JOIN h y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_n >= 80 * (p.n + q.n - both_n)),
-r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
-SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY xs) AS class_id FROM (SELECT doc_id, list_sort(list(sh)) AS xs FROM h GROUP BY doc_id))
+SELECT n.doc_id, n.n AS n_shingles, coalesce(any_value(c.class_id), n.doc_id) AS class_id, min(r.root) AS component_id,
+       coalesce(any_value(k.n_links), 0) AS n_links
+FROM n JOIN r USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY n.doc_id, n.n
 """
