@@ -25,6 +25,9 @@ HEADLINE = [
     "log_quarantine",
     "recent_ratings",
     "rating_upsert",
+    "load_ratings_file",
+    "stream_rating_state",
+    "stream_late_views",
     "user_hash_id",
     "item_cooccurrence",
     "itemcf_topk",
