@@ -211,6 +211,77 @@ def test_licenses_within_lines_and_across_paragraphs(spark):
     assert got == [(1, "Proprietary", 0, 1, True), (2, "MIT", 0, 1, True), (3, "Apache-2.0 notice", 2, 5, True), (4, "BSD-2-Clause notice", 1, 5, True), (4, "Proprietary", 7, 1, True)]
 
 
+def edits(own, ws, own_marked, marked, heavy):
+    """Cost of the words to add, lose or change, cell by cell; marked words are heavy."""
+    add, lose = [heavy if x else 1 for x in marked], [heavy if x else 1 for x in own_marked]
+    row = [sum(add[:k]) for k in range(len(ws) + 1)]
+    for word, cost in zip(own, lose, strict=True):
+        new = [row[0] + cost]
+        for k, w in enumerate(ws):
+            new.append(min(row[k + 1] + cost, new[-1] + add[k], row[k] + (w != word) * max(cost, add[k])))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_all_windows():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.25)
+    short = [n for n in scanner.names if len(scanner.words[n]) < 14]
+    pool = [w for n in short for w in scanner.words[n]] + ["plain", "words"]
+    rng = random.Random(7)
+    n_found = 0
+    for _ in range(120):
+        ws = []
+        for _ in range(3):
+            own = list(scanner.words[rng.choice(short)])
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = rng.choice(pool)
+            ws += own + [rng.choice(pool)] * rng.randrange(3)
+        confirmed, marked = {}, license_scan.telling(ws)
+        for name in short:
+            own, limit = scanner.words[name], scanner.limit[name]
+            for a in range(len(ws)):
+                for b in range(a + max(1, len(own) - limit), min(len(ws), a + len(own) + limit) + 1):
+                    n = edits(own, ws[a:b], scanner.telling[name], marked[a:b], limit + 1)
+                    if n <= limit:
+                        confirmed[a, b, name] = n
+        found = scanner.find(ws)
+        assert {(a, b, name) for a, b, name, _, _ in found} <= confirmed.keys()
+        assert all(b <= c for (_, b, *_), (c, *_) in zip(found, found[1:], strict=False))
+        assert not [(a, b, name, ws[a:b]) for a, b, name in confirmed if not any(a < d and c < b for c, d, *_ in found)]
+        for a, b, name, _, _ in found:
+            assert sum(max(j - i, m - k) for i, j, k, m in scanner.differences(name, ws[a:b], marked[a:b])) <= confirmed[a, b, name]
+        n_found += len(found)
+    assert n_found > 150
+
+
+def test_licenses_name_no_other_licence(spark):
+    wrong = {
+        "Released under the BSD License.": None, "Licensed under the Apache License, Version 1.1.": None, "It is licensed under by 4.0": None, "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        license_scan.TEMPLATES["GPL-3.0 notice"].replace("version 3", "version 4"): None, license_scan.TEMPLATES["BSD-2-Clause notice"] + " This software is provided by the copyright holders and contributors": "BSD-2-Clause notice",
+    }
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "") for k, t in enumerate([*wrong, *license_scan.TEMPLATES.values()])], KIND)
+    got = {r.doc_id: r.license for r in license_scan.scan_licenses(docs.union(docs)).collect()}
+    assert [got.get(k) for k in range(docs.count())] == [*wrong.values(), *license_scan.TEMPLATES]
+    assert license_scan.scan_licenses(docs.union(docs)).count() == 2 * len(got)
+
+
+def test_licenses_are_ranked_by_compression(monkeypatch):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.25)
+    text = license_scan.TEMPLATES["Apache-2.0 notice"]
+    assert [r[2] for r in scanner.scan(text)] == ["Apache-2.0 notice"]
+    monkeypatch.setattr(scanner, "sizes", lambda ws, names: (1, [1] * len(names)))
+    assert [r[2] for r in scanner.scan(text)] == ["Apache-2.0"]
+
+
+def test_licenses_of_a_long_text():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.25)
+    names = [n for n in scanner.names for _ in range(20)]
+    random.Random(3).shuffle(names)
+    found = [r[2] for r in scanner.scan("\n".join(license_scan.TEMPLATES[n] for n in names))]
+    assert found == names
+
+
 def brute_counts(t):
     ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     low = [w.translate({c: c + 32 for c in range(65, 91)}) for w in ws]
