@@ -2,7 +2,8 @@
 
 Folding makes look-alike characters and digit substitutions equal and turns everything that is no letter into a blank. The lexicon holds
 words and beginnings of words that mark toxic rows of a bounded labelled sample beyond chance, with their log-odds. Words that begin alike
-but are harmless there, and phrases that a caller names, are exceptions: hits inside them do not count.
+but are harmless there, pairs of neighbouring words that are harmless although one of them is an entry, and phrases that a caller names,
+are exceptions: hits inside them do not count.
 """
 
 from __future__ import annotations
@@ -153,6 +154,42 @@ def _counts(sample: DataFrame) -> DataFrame:
     return small_batches(sample).mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _pairs(sample: DataFrame, share: dict[str, float]) -> DataFrame:
+    """Documents of either class that hold an entry's word with the word before or behind it, and the least share of toxic ones among its entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            rows: list[tuple[str, float, int]] = []
+            for text, y in zip(texts, batch.column(batch.schema.get_field_index("y")).to_pylist(), strict=True):
+                ws = fold(text).split()
+                seen: dict[str, float] = {}
+                for k, w in enumerate(ws):
+                    own = [share[e] for e in (f" {w} ", *(f" {w[:n]}" for n in STEMS)) if e in share]
+                    for pair in (ws[k - 1 : k + 1], ws[k : k + 2]) if own else ():
+                        if len(pair) == 2:
+                            phrase = f" {' '.join(pair)} "
+                            seen[phrase] = min(seen.get(phrase, 1.0), *own)
+                rows += [(phrase, least, y) for phrase, least in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["phrase", "share", "y"])
+
+    found = small_batches(sample).mapInArrow(run, "phrase string, share double, y long")
+    return found.groupBy("phrase").agg(F.min("share").alias("share"), F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+
+
+def harmless_pairs(sample: DataFrame, share: dict[str, float]) -> list[str]:
+    """Pairs of words that hold an entry and stand in clean documents only, oftener than chance allows for that entry.
+
+    Their number is bounded by the sample; without entries there are none.
+    """
+    if not share:
+        return []
+    pairs = _pairs(sample, share).persist()
+    least = math.log(max(1, pairs.where("clean >= 2").count()) / RISK)
+    chosen = pairs.where((F.col("toxic") == 0) & (F.col("clean") >= 2) & (-F.col("clean") * F.log(1 - F.col("share")) >= least)).orderBy("phrase").collect()
+    pairs.unpersist()
+    return [r["phrase"] for r in chosen]
+
+
 def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per_class: int = PER_CLASS) -> Lexicon:
     """Learn the lexicon from rows outside fold 0 of 5, at most about ``per_class`` of each class, and the score's curve.
 
@@ -188,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per
         .collect()
     )
     counts.unpersist()
-    lexicon = Lexicon(entries, spared + [r["entry"] for r in harmless])
+    share = {r["entry"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1.0) for r in chosen}
+    lexicon = Lexicon(entries, spared + [r["entry"] for r in harmless] + harmless_pairs(rows, share))
     got = _measure(rows, lexicon, ["doc_id", "y"]).toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
     x = np.column_stack([got["root"], got["share"], got["most"]])
     lexicon.weights = (calibrate(x, np.array(got["y"])) + np.array([0.0, 0.0, 0.0, shift])).round(6)

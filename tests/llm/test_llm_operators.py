@@ -353,6 +353,27 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_harmless_pairs_are_spared(spark):
+    rng = random.Random(5)
+    free = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+
+    def among(*own):
+        ws = rng.choices(free, k=30)
+        at = rng.randrange(30)
+        return " ".join([*ws[:at], *own, *ws[at:]])
+
+    rows = [(k, among("grunk"), 1) for k in range(300)] + [(300 + k, among("grunk", "switch") if k % 8 == 0 else among("switch"), 0) for k in range(600)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.train(docs, labels)
+    assert " grunk " in lexicon.entries and " grunk switch " in lexicon.exceptions
+    # Brute force: no pair in a toxic document that was learned from is an exception.
+    assert not [p for p in lexicon.exceptions for k, t, y in rows if y and zlib.crc32(str(k).encode()) % 5 and p in toxicity.fold(t)]
+    tries = spark.createDataFrame([(1, among("grunk", "switch")), (2, among("grunk")), (3, among("grunk", "switch", "wordaa", "grunk")), (4, None), (5, "grunk switch " * 5000), (2, among("grunk"))], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(tries, lexicon, ["doc_id"]).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
 def test_all_stems_of_the_lexicon_get_their_exceptions(spark):
     heads = [a + b + c + d for a in "bcdfg" for b in "aeo" for c in "mnp" for d in "rst"]
     bad, good = [f"{h}uzuzu" for h in heads], [f"{h}ika" for h in heads]
