@@ -415,17 +415,12 @@ def login_pattern(spark: SparkSession, sf: str) -> DataFrame:
 # -- streams ---------------------------------------------------------------------------------------
 
 
-def _line_stream(lines: DataFrame, closing: list[str] | None = None) -> DataFrame:
-    """Write lines as text files and open a stream on them.
-
-    ``closing`` lines carry a time far ahead: they move the watermark past all other events.
-    """
+def _line_stream(lines: DataFrame) -> DataFrame:
+    """Write lines as text files and open a stream on them."""
     spark = lines.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     path = new_path(spark, "lines")
     lines.select("value").write.text(path)
-    if closing:
-        spark.createDataFrame([(c,) for c in closing], "value string").coalesce(1).write.mode("append").text(path)
     return read_lines(spark, path)
 
 
@@ -442,29 +437,63 @@ def stream_route_counts(spark: SparkSession, sf: str) -> DataFrame:
     return topics.groupBy("topic").agg(F.count(F.lit(1)).alias("lines"))
 
 
+#: Micro-batches of a stream query that is fed in order of time.
+STRETCHES = 4
+
+
+def _by_stretch(rows: DataFrame, name: str, n: int = STRETCHES) -> DataFrame:
+    """Rows with ``part``: the whole time, measured by ``sec``, cut into ``n`` equal stretches."""
+    rows = materialise(rows, name)
+    span = rows.agg(F.min("sec").alias("_low"), F.max("sec").alias("_high"))  # one row
+    part = F.floor((F.col("sec") - F.col("_low")) * n / (F.col("_high") - F.col("_low") + 1)).cast("int")
+    return rows.crossJoin(F.broadcast(span)).withColumn("part", part).drop("_low", "_high")
+
+
+def _in_batches(parts: list[DataFrame], run: Callable[[DataFrame, str], DataStreamWriter], progress: str) -> None:
+    """Append one part of lines after the other to a folder; each is one micro-batch of a query restarted from its checkpoint."""
+    spark = parts[0].sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    path = new_path(spark, "lines")
+    for part in parts:
+        part.select("value").write.mode("append").text(path)
+        run(read_lines(spark, path), progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def _in_order(lines: DataFrame, closing: str, run: Callable[[DataFrame, str], DataStreamWriter]) -> None:
+    """Feed (value, sec) by stretches of time. The last one has a ``closing`` line far ahead: it moves the watermark past all others."""
+    spark = lines.sparkSession
+    timed = _by_stretch(lines, "timed-lines")
+    parts = [timed.where(F.col("part") == k).select("value") for k in range(STRETCHES)]
+    parts[-1] = parts[-1].union(spark.createDataFrame([(closing,)], "value string"))
+    _in_batches(parts, run, new_path(spark, "progress"))
+
+
 def stream_hot_items(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _line_stream(tables.log_lines(spark, sf), ["PRODUCT_PV_PREFIX:0|pv|4102444800"])
-    views = logs.parse_page_views(logs.topic_rows(jobs.cleanse(lines), logs.PV_TOPIC))
-    counts = jobs.hot_item_counts(views, f"{WIDE_WINDOW} seconds", f"{WIDE_SLIDE} seconds")
     path = new_path(spark, "stream-hot")
-    jobs.hot_items(counts, path, new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+
+    def rank(lines: DataFrame, progress: str) -> DataStreamWriter:
+        views = logs.parse_page_views(logs.topic_rows(jobs.cleanse(lines), logs.PV_TOPIC))
+        return jobs.hot_items(jobs.hot_item_counts(views, f"{WIDE_WINDOW} seconds", f"{WIDE_SLIDE} seconds"), path, progress)
+
+    _in_order(tables.timed_log_lines(spark, sf), "PRODUCT_PV_PREFIX:0|pv|4102444800", rank)
     return read_all(spark, path, HOT_ITEMS)
 
 
-def _event_bodies(spark: SparkSession, sf: str) -> DataFrame:
+def _monitored(spark: SparkSession, sf: str, name: str, monitor: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All user events, in order of time, through a login monitor; its alerts as a file table."""
     body = F.concat_ws("|", F.col("userId").cast("string"), "eventType", F.unix_millis("ts").cast("string"))
-    return tables.user_events(spark, sf).select(body.alias("value"))
+    lines = tables.user_events(spark, sf).select(body.alias("value"), F.unix_seconds("ts").alias("sec"))
+    path = new_path(spark, name)
+    _in_order(lines, "-1|login|4102444800000", lambda raw, progress: to_files(monitor(logs.parse_logins(raw, "value")), path, progress))
+    return spark.read.parquet(path)
 
 
 def stream_login_burst(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _line_stream(_event_bodies(spark, sf), ["-1|login|4102444800000"])
-    return _run_to_table(jobs.login_bursts(logs.parse_logins(lines, "value"), seconds=BURST_HOURS * 3600), "stream-burst")
+    return _monitored(spark, sf, "stream-burst", lambda events: jobs.login_bursts(events, seconds=BURST_HOURS * 3600))
 
 
 def stream_login_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _line_stream(_event_bodies(spark, sf), ["-1|login|4102444800000"])
-    runs = jobs.login_patterns(logs.parse_logins(lines, "value"), seconds=PATTERN_HOURS * 3600)
-    return _run_to_table(runs, "stream-pattern")
+    return _monitored(spark, sf, "stream-pattern", lambda events: jobs.login_patterns(events, seconds=PATTERN_HOURS * 3600))
 
 
 def _bucketed(df: DataFrame, name: str, key: str) -> Callable[[DataFrame], DataFrame]:
@@ -492,15 +521,6 @@ def _stream_lists(spark: SparkSession, sf: str) -> DataFrame:
     return unnest_ranked(served.read(), "userId", "productId", "recs")
 
 
-def _in_batches(parts: list[DataFrame], run: Callable[[DataFrame, str], DataStreamWriter], progress: str) -> None:
-    """Append one part of lines after the other to a folder; each is one micro-batch of a query restarted from its checkpoint."""
-    spark = parts[0].sparkSession
-    path = new_path(spark, "lines")
-    for part in parts:
-        part.select("value").write.mode("append").text(path)
-        run(read_lines(spark, path), progress).trigger(availableNow=True).start().awaitTermination()
-
-
 def stream_rating_state(spark: SparkSession, sf: str) -> DataFrame:
     """All order lines in yearly micro-batches, by two runs with their own checkpoints and a compaction between; the merged history."""
     rows = materialise(tables.ratings(spark, sf), "rating-history")
@@ -524,12 +544,10 @@ TARDY = 7
 
 def stream_late_views(spark: SparkSession, sf: str) -> DataFrame:
     """Views that come behind the watermark, with the watermark they missed: three stretches of time as micro-batches, some views one later."""
-    views = materialise(tables.page_views(spark, sf).select("itemId", F.unix_seconds("ts").alias("sec")), "views")
-    span = views.agg(F.min("sec").alias("low"), F.max("sec").alias("high"))
-    third = F.floor((F.col("sec") - F.col("low")) * 3 / (F.col("high") - F.col("low") + 1))
-    part = third + (F.pmod("itemId", F.lit(TARDY)) == 0).cast("int")
+    views = _by_stretch(tables.page_views(spark, sf).select("itemId", F.unix_seconds("ts").alias("sec")), "views", 3)
+    part = F.col("part") + (F.pmod("itemId", F.lit(TARDY)) == 0).cast("int")
     line = F.concat(F.lit("PRODUCT_PV_PREFIX:"), F.concat_ws("|", F.col("itemId").cast("string"), F.lit("pv"), F.col("sec").cast("string")))
-    lines = materialise(views.crossJoin(F.broadcast(span)).select(part.alias("part"), line.alias("value")), "view-lines")  # span is one row
+    lines = materialise(views.select(part.alias("part"), line.alias("value")), "view-lines")
     path = new_path(spark, "late-views")
 
     def split(raw: DataFrame, progress: str) -> DataStreamWriter:

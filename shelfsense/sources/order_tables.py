@@ -87,6 +87,11 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw logger lines, one per event, including junk and malformed ones."""
+    return timed_log_lines(spark, sf_dir).select("value")
+
+
+def timed_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw logger lines with the second in which each is written: (value, sec)."""
     seconds = F.unix_seconds(_instant("ts")).cast("string")
     millis = F.unix_millis(_instant("ts")).cast("string")
     user, item = F.col("user_id").cast("string"), _item()
@@ -109,4 +114,4 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(variant == 4, F.lit("web PRODUCT_RATING_PREFIX:"))
         .otherwise(F.concat(F.lit("web PRODUCT_RATING_PREFIX:"), rating, F.lit("||")))
     )
-    return table(spark, sf_dir, "events").select(line.alias("value"))
+    return table(spark, sf_dir, "events").select(line.alias("value"), F.unix_seconds(_instant("ts")).alias("sec"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,14 +36,19 @@ def hot_item_counts(
 ) -> DataFrame:
     """Views per item of every closed sliding window: (windowEnd, itemId, nums).
 
+    Two chained stateful operators: views are counted once per slide-long pane, and the pane counts, not the views, are copied to the
+    windows that cover them and summed. The state of the first holds the open panes, that of the second one sum per open window and item.
     In append mode a window's rows all appear in the micro-batch in which the watermark passes its
-    end; views behind the watermark are dropped.
+    end; views behind the watermark are dropped. The window must be a whole number of slides.
     """
-    counted = (
+    if pd.Timedelta(size) % pd.Timedelta(slide):
+        raise ValueError("the window must be a whole number of slides")
+    panes = (
         views.withWatermark("ts", delay)
-        .groupBy(F.window("ts", size, slide), "itemId")
-        .agg(F.count(F.lit(1)).alias("nums"))
+        .groupBy(F.window("ts", slide).alias("pane"), "itemId")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    counted = panes.groupBy(F.window("pane", size, slide).alias("window"), "itemId").agg(F.sum("n").alias("nums"))
     return counted.select(F.unix_seconds("window.end").alias("windowEnd"), "itemId", "nums")
 
 

@@ -1,114 +1,155 @@
 """Keyed event-time state for the login monitors.
 
-Both keep the times of one user that a later event could still join, and settle them only when the
-watermark has passed, so arrival order inside the watermark delay does not matter.
+A user's events wait in a map of one-second slots until the watermark has passed their slot; then the slot is folded, in time order, into
+what the user's past still decides (one open window, or the few logins whose run may grow) and removed. A micro-batch touches only the
+slots of its own events and those that the watermark has just passed; nothing else of the user is read or written, however busy the user
+is, and arrival order inside the watermark delay does not matter. A slot holds distinct (time, type) pairs with their number, so its size
+is bounded by its thousand milliseconds and the types of events.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+SLOT_MS = 1000
+
 
 def _millis(column: pd.Series) -> list[int]:
     return (column.astype("datetime64[us]").astype("int64") // 1000).tolist()
 
 
-class BurstMonitor(StatefulProcessor):
-    """Windows anchored at a login; one list state of (ms, n), one timer at the open window's end."""
+def _in_order(event: tuple[int, str | None]) -> tuple[int, bool, str]:
+    """By time, then by type with NULL first, as Spark sorts them."""
+    ms, kind = event
+    return ms, kind is not None, kind or ""
 
-    def __init__(self, limit: int, span: int, message: str):
-        self.limit, self.span, self.message = limit, span, message
+
+class SlotMonitor(StatefulProcessor):
+    """Slots of pending events and what is open of the settled ones.
+
+    A slot has two timers, both at ends of slots: one when no event of the slot can come any more, one when nothing that began in it can
+    grow any more. Timers of a key fire in time order, so slots are folded in time order even if the watermark passes many at once.
+    """
+
+    OPEN: str
+    COLUMNS: list[str]
+
+    def __init__(self, span: int):
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "ms bigint, n bigint")
+        self.slots = handle.getMapState("slots", "slot bigint", "ms array<bigint>, type array<string>, n array<bigint>")
+        self.open = handle.getValueState("open", self.OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = Counter()
+        fresh: dict[int, Counter] = {}
         for frame in rows:
-            seen.update(_millis(frame["ts"]))
-        before = dict(self.times.get())
-        merged = Counter(before)
-        merged.update(seen)
-        if not before or min(merged) < min(before):
-            if before:
-                self.handle.deleteTimer(min(before) + self.span + 1)
-            self.handle.registerTimer(min(merged) + self.span + 1)
-        self.times.put(sorted(merged.items()))
-        yield pd.DataFrame()
+            kinds = frame["eventType"].astype(object).where(frame["eventType"].notna(), None)
+            for event, n in Counter(zip(_millis(frame["ts"]), kinds)).items():
+                fresh.setdefault(event[0] // SLOT_MS, Counter())[event] += n
+        for slot, events in fresh.items():
+            held = self.slots.getValue((slot,))
+            if held is None:
+                end = (slot + 1) * SLOT_MS
+                self.handle.registerTimer(end)
+                self.handle.registerTimer(end + -(-self.span // SLOT_MS) * SLOT_MS)
+            else:
+                events.update(dict(zip(zip(held[0], held[1]), held[2])))
+            self.slots.updateValue((slot,), ([ms for ms, _ in events], [kind for _, kind in events], list(events.values())))
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        pending = sorted(self.times.get())
-        alerts = []
-        while pending and pending[0][0] + self.span < passed:
-            start = pending[0][0]
-            count = sum(n for ms, n in pending if ms <= start + self.span)
-            pending = [(ms, n) for ms, n in pending if ms > start + self.span]
-            if count >= self.limit:
-                alerts.append((key[0], start, count, self.message))
-        if pending:
-            self.times.put(pending)
-            self.handle.registerTimer(pending[0][0] + self.span + 1)
-        else:
-            self.times.clear()
-        yield pd.DataFrame(alerts, columns=["userId", "windowStart", "loginNums", "msg"])
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        slot = end // SLOT_MS - 1
+        before = self.open.get()
+        after, found = before, []
+        held = self.slots.getValue((slot,))
+        if held is not None:
+            counts = dict(zip(zip(held[0], held[1]), held[2]))
+            for ms, kind in sorted(counts, key=_in_order):
+                after = self.fold(after, ms, kind, counts[ms, kind], found)
+            self.slots.removeKey((slot,))
+        after = self.settle(after, end, found)
+        if after is None and before is not None:
+            self.open.clear()
+        elif after is not None and after != before:
+            self.open.update(after)
+        return iter([pd.DataFrame([(key[0], *row) for row in found], columns=self.COLUMNS)] if found else [])
+
+    def fold(self, state: tuple | None, ms: int, kind: str | None, n: int, found: list[tuple]) -> tuple | None:
+        """State after ``n`` equal events; rows that they decide are added to ``found``."""
+        raise NotImplementedError
+
+    def settle(self, state: tuple | None, end: int, found: list[tuple]) -> tuple | None:
+        """State once every event before ``end`` is folded."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class PatternMonitor(StatefulProcessor):
-    """Runs of logins; one list state of (ms, type), settled one span after each event."""
+class BurstMonitor(SlotMonitor):
+    """Windows anchored at a login; the open one is kept as its start and its count."""
 
-    def __init__(self, span: int, repeats: tuple[int, ...], login: str, message: str):
-        self.span, self.repeats, self.login, self.message = span, repeats, login, message
+    OPEN = "start bigint, n bigint"
+    COLUMNS = ["userId", "windowStart", "loginNums", "msg"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", "ms bigint, type string")
+    def __init__(self, limit: int, span: int, message: str):
+        super().__init__(span)
+        self.limit, self.message = limit, message
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for frame in rows:
-            new.extend(zip(_millis(frame["ts"]), frame["eventType"]))
-        before = list(self.events.get())
-        merged = sorted([tuple(e) for e in before] + new)
-        if not before or merged[0][0] < min(e[0] for e in before):
-            if before:
-                self.handle.deleteTimer(min(e[0] for e in before) + self.span + 1)
-            self.handle.registerTimer(merged[0][0] + self.span + 1)
-        self.events.put(merged)
-        yield pd.DataFrame()
+    def fold(self, state, ms, kind, n, found):
+        if state is not None and ms <= state[0] + self.span:
+            return state[0], state[1] + n
+        self.settle(state, ms, found)
+        return ms, n
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        pending = sorted(tuple(e) for e in self.events.get())
-        runs, done = [], 0
-        for i, (ms, kind) in enumerate(pending):
-            if ms + self.span >= passed:
-                break
-            done = i + 1
-            if kind != self.login or i + 1 == len(pending) or pending[i + 1][1] != self.login:
-                continue
-            later = 0
-            for t, k in islice(pending, i + 1, None):
-                if t - ms >= self.span or later == max(self.repeats):
-                    break
-                later += k == self.login
-            runs.extend((key[0], ms, r + 1, self.message) for r in self.repeats if later >= r)
-        pending = pending[done:]
-        if pending:
-            self.events.put(pending)
-            self.handle.registerTimer(pending[0][0] + self.span + 1)
-        else:
-            self.events.clear()
-        yield pd.DataFrame(runs, columns=["userId", "firstLogin", "loginNums", "msg"])
+    def settle(self, state, end, found):
+        if state is None or state[0] + self.span >= end:
+            return state
+        if state[1] >= self.limit:
+            found.append((state[0], state[1], self.message))
+        return None
 
-    def close(self) -> None:
-        pass
+
+class PatternMonitor(SlotMonitor):
+    """Runs of logins: the latest event if it is a login, and the logins whose run may still grow with the logins that followed each.
+
+    A login leaves when its longest run is found or the span is over, so at most as many wait as the longest run has followers.
+    """
+
+    OPEN = "last bigint, first array<bigint>, seen array<bigint>"
+    COLUMNS = ["userId", "firstLogin", "loginNums", "msg"]
+
+    def __init__(self, span: int, repeats: tuple[int, ...], login: str, message: str):
+        super().__init__(span)
+        self.repeats, self.login, self.message = repeats, login, message
+
+    def fold(self, state, ms, kind, n, found):
+        last, first, seen = (None, [], []) if state is None else state
+        if kind != self.login:
+            return None, list(first), list(seen)
+        waiting = list(zip(first, seen))
+        for _ in range(n):
+            if last is not None:
+                waiting.append((last, 0))
+            waiting = [(start, later + 1) for start, later in waiting if ms - start < self.span]
+            found.extend((start, later + 1, self.message) for start, later in waiting if later in self.repeats)
+            waiting = [(start, later) for start, later in waiting if later < max(self.repeats)]
+            last = ms
+        return last, [start for start, _ in waiting], [later for _, later in waiting]
+
+    def settle(self, state, end, found):
+        if state is None:
+            return None
+        last, first, seen = state
+        waiting = [(start, later) for start, later in zip(first, seen) if start + self.span > end]
+        last = last if last is not None and last + self.span > end else None
+        if last is None and not waiting:
+            return None
+        return last, [start for start, _ in waiting], [later for _, later in waiting]

@@ -1,5 +1,6 @@
 """Hot items and login monitors, batch and stream."""
 
+import os
 import random
 from datetime import datetime, timezone
 
@@ -162,6 +163,67 @@ def test_stream_patterns_equal_batch(spark, tmp_path):
     assert [(u, t // 1000 - T0, n) for u, t, n in got] == RUNS
 
 
+def feed_files(spark, tmp_path, parts, build):
+    """Every part is a micro-batch of one run; returns the sink's rows and the checkpoint."""
+    source, sink, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    source.mkdir()
+    for n, part in enumerate(parts):
+        file = source / f"{n:03d}.json"
+        file.write_text("\n".join(f'{{"userId":{u},"eventType":"{k}","ts":"{iso(T0 + s)}"}}' for u, k, s in part))
+        os.utime(file, (T0 + n, T0 + n))
+    stream = spark.readStream.schema(LOGIN_SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    query = to_files(build(stream), sink, progress).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == len([p for p in parts if p])
+    return sorted(tuple(r) for r in spark.read.parquet(sink).collect()), progress
+
+
+def _busy_login_rows():
+    """A user with several logins in most seconds, one with few, repeated rows, and other events between."""
+    rng = random.Random(5)
+    rows = [(1, rng.choice(["login", "login", "view", "alpha"]), rng.randrange(600)) for _ in range(1500)]
+    rows += [(2, "login", rng.randrange(600)) for _ in range(60)] + [(3, "login", 7)] * 9 + [(4, "view", 8)] * 3
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["burst", "pattern"])
+def test_monitors_over_many_batches(spark, tmp_path, kind):
+    """Twenty micro-batches in order of time equal the batch form, and the busy user's state holds the last stretch of time alone."""
+    rows = _busy_login_rows()
+    parts = [[r for r in rows if r[2] // 30 == n] for n in range(20)]
+    stream, batch = (jobs.login_bursts, logins.login_bursts) if kind == "burst" else (jobs.login_patterns, logins.login_patterns)
+    got, progress = feed_files(spark, tmp_path, [*parts, [(-1, "login", FAR - T0)]], stream)
+    want = sorted(tuple(r) for r in batch(events(spark, rows)).collect())
+    assert got == want and len(want) > 20
+    state = lambda name, at: {
+        r.key.userId: r.n
+        for r in spark.read.format("statestore").option("stateVarName", name).option("batchId", at).load(progress).groupBy("key").count().withColumnRenamed("count", "n").collect()
+    }
+    # Batch 19 adds the last 30 seconds; all older slots were folded and removed when the watermark passed them.
+    assert state("slots", 19)[1] <= 31 and max(state("open", 19).values()) == 1
+
+
+def test_late_logins_are_left_out(spark, tmp_path):
+    """A login behind the watermark neither opens nor joins a window."""
+    parts = [[(1, "login", 0), (1, "login", 5)], [(2, "login", 100)], [(2, "login", 101)], [(1, "login", 6), (2, "login", 102)], [(-1, "login", FAR - T0)]]
+    got, _ = feed_files(spark, tmp_path, parts, jobs.login_bursts)
+    assert [(u, (t // 1000) - T0, n) for u, t, n, _ in got] == [(2, 100, 3)]
+
+
+def test_stream_hot_items_counts_panes(spark, tmp_path):
+    """Two stateful operators: 500 views of one item in one pane enter the second as a single row; part slides are refused."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(f'{{"itemId":1,"ts":"{iso(T0 - T0 % 120 + 600 + n % 100)}"}}' for n in range(500)))
+    stream = spark.readStream.schema("itemId int, ts timestamp").json(str(source))
+    query = to_files(jobs.hot_item_counts(stream), str(tmp_path / "out"), str(tmp_path / "p")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    first = query.recentProgress[0]["stateOperators"]
+    assert sorted(op["numRowsTotal"] for op in first) == [0, 1]  # the pane is open yet, nothing is copied
+    with pytest.raises(ValueError):
+        jobs.hot_item_counts(stream, "100 seconds", "30 seconds")
+
+
 def test_rating_stream_is_stamped(spark):
     lines = spark.createDataFrame([("PRODUCT_RATING_PREFIX:1|2|3.0|4",)], "value string")
     row = jobs.cleanse_ratings(lines).first()
