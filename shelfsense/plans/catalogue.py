@@ -438,7 +438,7 @@ def stream_route_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Micro-batches of a stream query that is fed in order of time.
-STRETCHES = 4
+STRETCHES = 3
 
 
 def _by_stretch(rows: DataFrame, name: str, n: int = STRETCHES) -> DataFrame:

@@ -22,6 +22,12 @@ def _millis(column: pd.Series) -> list[int]:
     return (column.astype("datetime64[us]").astype("int64") // 1000).tolist()
 
 
+def _counts(held: tuple) -> dict[tuple[int, str | None], int]:
+    """What a slot holds: the number of each (time, type)."""
+    times, kinds, numbers = held
+    return dict(zip(zip(times, kinds), numbers))
+
+
 def _in_order(event: tuple[int, str | None]) -> tuple[int, bool, str]:
     """By time, then by type with NULL first, as Spark sorts them."""
     ms, kind = event
@@ -29,10 +35,10 @@ def _in_order(event: tuple[int, str | None]) -> tuple[int, bool, str]:
 
 
 class SlotMonitor(StatefulProcessor):
-    """Slots of pending events and what is open of the settled ones.
+    """Slots of pending events, what is open of the settled ones, and the one timer of a user with the latest slot ever written.
 
-    A slot has two timers, both at ends of slots: one when no event of the slot can come any more, one when nothing that began in it can
-    grow any more. Timers of a key fire in time order, so slots are folded in time order even if the watermark passes many at once.
+    The timer stands at the end of the earliest pending slot, or where what is open ends without further events. When it fires, all slots
+    that the watermark has passed are folded in time order.
     """
 
     OPEN: str
@@ -45,6 +51,7 @@ class SlotMonitor(StatefulProcessor):
         self.handle = handle
         self.slots = handle.getMapState("slots", "slot bigint", "ms array<bigint>, type array<string>, n array<bigint>")
         self.open = handle.getValueState("open", self.OPEN)
+        self.mark = handle.getValueState("mark", "timer bigint, latest bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh: dict[int, Counter] = {}
@@ -52,35 +59,56 @@ class SlotMonitor(StatefulProcessor):
             kinds = frame["eventType"].astype(object).where(frame["eventType"].notna(), None)
             for event, n in Counter(zip(_millis(frame["ts"]), kinds)).items():
                 fresh.setdefault(event[0] // SLOT_MS, Counter())[event] += n
+        if not fresh:
+            return iter([])
+        timer, latest = self.mark.get() or (None, None)
         for slot, events in fresh.items():
-            held = self.slots.getValue((slot,))
-            if held is None:
-                end = (slot + 1) * SLOT_MS
-                self.handle.registerTimer(end)
-                self.handle.registerTimer(end + -(-self.span // SLOT_MS) * SLOT_MS)
-            else:
-                events.update(dict(zip(zip(held[0], held[1]), held[2])))
+            held = self.slots.getValue((slot,)) if latest is not None and slot <= latest else None
+            if held is not None:
+                events.update(_counts(held))
             self.slots.updateValue((slot,), ([ms for ms, _ in events], [kind for _, kind in events], list(events.values())))
+        end = (min(fresh) + 1) * SLOT_MS
+        if timer is None or end < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+            timer = end
+        self.mark.update((timer, max(fresh) if latest is None else max(latest, *fresh)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        slot = end // SLOT_MS - 1
-        before = self.open.get()
-        after, found = before, []
-        held = self.slots.getValue((slot,))
-        if held is not None:
-            counts = dict(zip(zip(held[0], held[1]), held[2]))
+        passed = timerValues.getCurrentWatermarkInMs() // SLOT_MS
+        pending = sorted(slot for (slot,) in self.slots.keys())
+        ripe = [slot for slot in pending if slot < passed]
+        before, found = self.open.get(), []
+        after = before
+        for slot in ripe:
+            counts = _counts(self.slots.getValue((slot,)))
             for ms, kind in sorted(counts, key=_in_order):
                 after = self.fold(after, ms, kind, counts[ms, kind], found)
-            self.slots.removeKey((slot,))
-        after = self.settle(after, end, found)
-        if after is None and before is not None:
-            self.open.clear()
-        elif after is not None and after != before:
+            if len(ripe) < len(pending):
+                self.slots.removeKey((slot,))
+        after = self.settle(after, passed * SLOT_MS, found)
+        if after is not None:
             self.open.update(after)
+        elif before is not None:
+            self.open.clear()
+        due = [(pending[len(ripe)] + 1) * SLOT_MS] if len(ripe) < len(pending) else []
+        if after is not None:
+            due.append((self.until(after) // SLOT_MS + 1) * SLOT_MS)
+        if len(ripe) == len(pending):
+            self.slots.clear()
+        if due:
+            self.handle.registerTimer(min(due))
+            self.mark.update((min(due), pending[-1] if pending else passed))
+        else:
+            self.mark.clear()
         return iter([pd.DataFrame([(key[0], *row) for row in found], columns=self.COLUMNS)] if found else [])
 
+    def until(self, state: tuple) -> int:
+        """Time after which :meth:`settle` leaves nothing of the state if no event comes."""
+        raise NotImplementedError
+
     def fold(self, state: tuple | None, ms: int, kind: str | None, n: int, found: list[tuple]) -> tuple | None:
         """State after ``n`` equal events; rows that they decide are added to ``found``."""
         raise NotImplementedError
@@ -103,6 +131,9 @@ class BurstMonitor(SlotMonitor):
         super().__init__(span)
         self.limit, self.message = limit, message
 
+    def until(self, state):
+        return state[0] + self.span
+
     def fold(self, state, ms, kind, n, found):
         if state is not None and ms <= state[0] + self.span:
             return state[0], state[1] + n
@@ -130,6 +161,10 @@ class PatternMonitor(SlotMonitor):
         super().__init__(span)
         self.repeats, self.login, self.message = repeats, login, message
 
+    def until(self, state):
+        last, first, _ = state
+        return max([*first, *([] if last is None else [last])]) + self.span
+
     def fold(self, state, ms, kind, n, found):
         last, first, seen = (None, [], []) if state is None else state
         if kind != self.login:
