@@ -28,6 +28,11 @@ def words(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), "\\s"), lambda w: w != "")
 
 
+def hash_bucket(word: Column, buckets: int) -> Column:
+    """Bucket of a word from 0: its 32-bit murmur3 (seed 42, trailing bytes mixed one by one) modulo ``buckets``, never negative."""
+    return F.pmod(F.hash(word), F.lit(buckets))
+
+
 def string_hash32(col: Column) -> Column:
     """Signed 32-bit polynomial hash (base 31) over UTF-16 code units; a user's id from the name."""
     unit_hex = F.hex(F.encode(col, "UTF-16BE"))

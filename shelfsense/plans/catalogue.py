@@ -288,15 +288,17 @@ def content_similar_hashed(spark: SparkSession, sf: str) -> DataFrame:
     return content.content_similar(content.bucket_tags(tables.products(spark, sf)))
 
 
+def content_hashed_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of the hashed tag words, entry by entry."""
+    return content.hashed_terms(tables.products(spark, sf)).withColumn("weight", F.round("weight", 9))
+
+
 def content_hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Size and length of every product's hashed, rescaled vector."""
-    from pyspark.ml.functions import vector_to_array
-
-    dense = content.hashed_vectors(tables.products(spark, sf)).select(
-        "productId", F.size("words").alias("words"), vector_to_array("features").alias("v")
+    squares = F.aggregate("features", F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"])
+    return content.hashed_vectors(tables.products(spark, sf)).select(
+        "productId", F.size("words").alias("words"), F.round(F.sqrt(squares), 9).alias("length")
     )
-    squares = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    return dense.select("productId", "words", F.round(F.sqrt(squares), 9).alias("length"))
 
 
 # -- latent factors --------------------------------------------------------------------------------
@@ -610,6 +612,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         content_topk,
         serve_content,
         content_similar_hashed,
+        content_hashed_terms,
         content_hashed_vectors,
         als_user_recs,
         als_item_similar,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfsense.operators.content import HASH_BUCKETS
 from shelfsense.operators.logins import BURST_MESSAGE, PATTERN_MESSAGE
 from shelfsense.operators.latent import GRID_DAMPING, split_limit
 from shelfsense.plans.catalogue import BURST_HOURS, PATTERN_HOURS, SEARCH, TOP_N, WIDE_SLIDE, WIDE_WINDOW
@@ -95,9 +96,13 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 weighted AS (
   SELECT id, term, tf, df, tf * ln(((SELECT count(*) FROM part) + 1) / (df + 1)) AS w FROM tf JOIN df USING (term))"""
 
-_CONTENT = (
-    _TERMS
-    + """,
+
+
+def _content(terms: str) -> str:
+    """Ranked cosines above the threshold of the vectors that ``terms`` weighs."""
+    return (
+        terms
+        + """,
 units AS (
   SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM weighted WHERE w > 0),
 cosines AS (
@@ -107,7 +112,39 @@ content AS (
   SELECT p AS "productId", row_number() OVER (PARTITION BY p ORDER BY score DESC, q)::INT AS rank,
          q AS "recProductId", score
   FROM cosines WHERE score > 0.4)"""
-)
+    )
+
+
+_CONTENT = _content(_TERMS)
+
+# Multipliers and addend of 32-bit murmur3, and its seed. All steps are unsigned modulo 2^32.
+_MASK, _K1, _K2, _ADD, _F1, _F2, _SEED = 4294967295, 3432918353, 461845907, 3864292196, 2246822507, 3266489909, 42
+
+_HASHED_TERMS = f"""tags AS (
+  SELECT p_partkey::INT AS id, unnest(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS word FROM part),
+digits AS (SELECT word, hex(word) AS x, strlen(word)::BIGINT AS n FROM (SELECT DISTINCT word FROM tags)),
+bytes AS (
+  SELECT word, n, list_transform(range(0, n), lambda i: 16 * (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1)
+                                                        + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) AS b FROM digits),
+blocks AS (
+  SELECT word, n, list_concat(
+    list_transform(range(0, n // 4), lambda i: (b[4 * i + 1] + 256 * b[4 * i + 2] + 65536 * b[4 * i + 3] + 16777216 * b[4 * i + 4])::UBIGINT),
+    list_transform(range(n // 4 * 4, n), lambda i: (b[i + 1] + CASE WHEN b[i + 1] > 127 THEN 4294967040 ELSE 0 END)::UBIGINT)) AS k
+  FROM bytes),
+spread AS (SELECT word, n, list_transform(k, lambda v: (v * {_K1}::UBIGINT) & {_MASK}::UBIGINT) AS k FROM blocks),
+mixed AS (
+  SELECT word, n, list_transform(k, lambda v: ((((v << 15) & {_MASK}::UBIGINT) | (v >> 17)) * {_K2}::UBIGINT) & {_MASK}::UBIGINT) AS k FROM spread),
+folded AS (
+  SELECT word, xor(list_reduce(list_concat([{_SEED}::UBIGINT], k), lambda h, v:
+    (((((xor(h, v) << 13) & {_MASK}::UBIGINT) | (xor(h, v) >> 19)) * 5::UBIGINT + {_ADD}::UBIGINT) & {_MASK}::UBIGINT)), n::UBIGINT) AS h FROM mixed),
+once AS (SELECT word, (xor(h, h >> 16) * {_F1}::UBIGINT) & {_MASK}::UBIGINT AS h FROM folded),
+twice AS (SELECT word, (xor(h, h >> 13) * {_F2}::UBIGINT) & {_MASK}::UBIGINT AS h FROM once),
+whole AS (SELECT word, xor(h, h >> 16)::BIGINT AS h FROM twice),
+buckets AS (SELECT word, (((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % {HASH_BUCKETS} + {HASH_BUCKETS}) % {HASH_BUCKETS})::INT AS term FROM whole),
+tf AS (SELECT id, term, count(*) AS tf FROM tags JOIN buckets USING (word) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+weighted AS (
+  SELECT id, term, tf, df, tf * ln(((SELECT count(*) FROM part) + 1) / (df + 1)) AS w FROM tf JOIN df USING (term))"""
 
 _RECENT = """recent AS (
   SELECT * FROM (
@@ -290,6 +327,10 @@ SELECT p AS product1, q AS product2, together AS cooccurrence, c1 AS count1, c2
     "content_tfidf": f'WITH {_TERMS} SELECT id AS "productId", term, tf, df, round(w, 9) AS weight FROM weighted',
     "content_similar": f"WITH {_CONTENT} SELECT * FROM content",
     "content_topk": f"WITH {_CONTENT} SELECT * FROM content WHERE rank <= {TOP_N}",
+    "content_similar_hashed": f"WITH {_content(_HASHED_TERMS)} SELECT * FROM content",
+    "content_hashed_terms": f'WITH {_HASHED_TERMS} SELECT id AS "productId", term AS bucket, tf, df, round(w, 9) AS weight FROM weighted',
+    "content_hashed_vectors": f"""WITH {_HASHED_TERMS}
+SELECT id AS "productId", sum(tf)::INT AS words, round(sqrt(sum(w * w)), 9) AS length FROM weighted GROUP BY 1""",
     "serve_content": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL}, {_CONTENT} "
     + _served("content", "productId", "recProductId"),
     "vector_similar": f"{_VECTORS} SELECT * FROM vectors",

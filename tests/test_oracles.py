@@ -19,7 +19,7 @@ def test_equals_sql(spark, duck, name):
     assert compare(QUERIES[name](spark, SF_DIR).toPandas(), duck.execute(ORACLES[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", ["content_similar_hashed", "content_hashed_vectors", "als_item_topk", "serve_offline"])
+@pytest.mark.parametrize("name", ["als_item_topk", "serve_offline"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
