@@ -20,6 +20,8 @@ HEADLINE = [
     "average_products",
     "hot_products_top_n",
     "product_detail",
+    "product_search",
+    "product_search_indexed",
     "log_route_counts",
     "log_clean_ratings",
     "log_quarantine",
@@ -35,6 +37,7 @@ HEADLINE = [
     "content_tfidf",
     "content_similar",
     "content_topk",
+    "content_hashed_terms",
     "als_user_recs",
     "als_item_topk",
     "realtime_scores",

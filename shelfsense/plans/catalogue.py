@@ -19,6 +19,7 @@ from shelfsense.operators import (
     logs,
     ratings,
     realtime,
+    search,
     serving,
     statistics,
 )
@@ -97,7 +98,19 @@ def product_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def product_search(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.search_products(tables.products(spark, sf), SEARCH, _means(spark, sf))
+    """Every name is tried; only the hits' ratings are averaged."""
+    products = tables.products(spark, sf)
+    hits = materialise(products.where(F.col("name").rlike(SEARCH)), "hits")
+    return serving.with_mean_score(hits, _means_of(spark, sf, hits))
+
+
+def product_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search by the trigram index, with index and products stored in buckets of which only those asked for are opened."""
+    products = tables.products(spark, sf)
+    index = _bucketed(search.trigrams(products), "trigrams", "gram")
+    stored = _bucketed(products, "products-by-id", "productId")
+    hits = materialise(search.search(SEARCH, index, stored, products), "hits")
+    return serving.with_mean_score(hits, _means_of(spark, sf, hits))
 
 
 def distinct_users(spark: SparkSession, sf: str) -> DataFrame:
@@ -585,6 +598,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rate_more_top_n,
         product_detail,
         product_search,
+        product_search_indexed,
         distinct_users,
         distinct_products,
         log_clean_lines,

@@ -267,6 +267,7 @@ top AS (SELECT *, row_number() OVER (ORDER BY count DESC, "productId")::INT AS r
 SELECT t.rank, t."productId", t.count, d.name, d.score AS "meanScore" FROM top t JOIN detail d USING ("productId") WHERE t.rank <= {TOP_N}""",
     "product_detail": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL} SELECT * FROM detail",
     "product_search": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL} SELECT * FROM detail WHERE regexp_matches(name, '{SEARCH}')",
+    "product_search_indexed": f"WITH {_RATINGS}, {_MEANS}, {_PRODUCT_DETAIL} SELECT * FROM detail WHERE regexp_matches(name, '{SEARCH}')",
     "distinct_users": f'WITH {_RATINGS} SELECT DISTINCT "userId" FROM ratings',
     "distinct_products": f'WITH {_RATINGS} SELECT DISTINCT "productId" FROM ratings',
     "log_clean_lines": f"WITH {_LINES} SELECT topic, body FROM cleaned",
