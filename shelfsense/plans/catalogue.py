@@ -357,6 +357,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return latent.factor_similar(_vectors(spark, sf), k=TOP_N)
 
 
+def vector_best_dots(spark: SparkSession, sf: str) -> DataFrame:
+    """The search behind the lists per user, on vectors that need no training: every vector asks all."""
+    rows = _vectors(spark, sf)
+    best = latent.best_dots(rows, rows, TOP_N)
+    return best.select(F.col("id").cast("int").alias("id"), "rank", F.col("item").cast("int").alias("item"), "score")
+
+
 def damped_rmse_grid(spark: SparkSession, sf: str) -> DataFrame:
     return latent.damped_grid(tables.ratings(spark, sf))
 
@@ -635,6 +642,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         als_best_of_grid,
         vector_similar,
         vector_topk,
+        vector_best_dots,
         damped_rmse_grid,
         damped_best_of_grid,
         rmse_of_means,

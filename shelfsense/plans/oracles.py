@@ -336,6 +336,10 @@ SELECT id AS "productId", sum(tf)::INT AS words, round(sqrt(sum(w * w)), 9) AS l
     + _served("content", "productId", "recProductId"),
     "vector_similar": f"{_VECTORS} SELECT * FROM vectors",
     "vector_topk": f"{_VECTORS} SELECT * FROM vectors WHERE rank <= {TOP_N}",
+    "vector_best_dots": f"""{_VECTORS} SELECT * FROM (
+  SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.e, b.e), 9) DESC, b.id)::INT AS rank,
+         b.id AS item, round(list_dot_product(a.e, b.e), 9) AS score
+  FROM given a, given b WHERE round(list_dot_product(a.e, b.e), 9) > 0) WHERE rank <= {TOP_N}""",
     "damped_rmse_grid": f"{_DAMPED} SELECT damping, rmse FROM grid",
     "damped_best_of_grid": f"{_DAMPED} SELECT damping, rmse FROM grid ORDER BY rmse, damping LIMIT 1",
     "rmse_of_means": f"""WITH {_RATINGS}, {_MEANS}
