@@ -40,6 +40,7 @@ HEADLINE = [
     "content_hashed_terms",
     "als_user_recs",
     "als_item_topk",
+    "vector_best_dots",
     "realtime_scores",
     "hot_items_window",
     "login_burst",
