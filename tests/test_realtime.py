@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 
 from shelfsense import schemas
-from shelfsense.operators import realtime
+from shelfsense.operators import content, realtime
 
 
 @pytest.fixture()
@@ -77,3 +78,21 @@ def test_cut_lists_with_pair_scores_give_the_same(spark, history, similar):
     cut = realtime.realtime_scores(event, history, similar.where(f"rank <= {depth}"), candidate_n=1, pair_scores=scorer)
     assert whole and whole == cut.collect()
     assert realtime.deepest_rank(history.limit(0), 5) == 5
+
+
+def test_lists_meet_by_user_without_a_shuffle_of_pairs(spark, rows):
+    """Scores from the products' vectors equal those of given pairs; no table of pairs is written, and busy users take a join."""
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(9)]
+    products = [(p, "n", "u", "c", "|".join(rng.choices(words, k=3))) for p in range(60)]
+    rated = [(u, rng.randrange(60), float(rng.randint(1, 5)), rng.randrange(999)) for u in range(12) for _ in range(1 + 3 * u)]
+    ratings = spark.createDataFrame(rated + [(None, 3, 2.0, 5), (3, None, 2.0, 5)], schemas.RATING)
+    members, vectors = content.tag_vectors(spark.createDataFrame(products, schemas.PRODUCT))
+    profiles, lists = content.tag_profiles(members, vectors), content.similar_lists(members, vectors)
+    got = realtime.realtime_scores(ratings, ratings, lists, profiles=profiles)
+    files = " ".join(got.inputFiles())
+    assert "evidence" not in files and "tag-profiles" in files
+    pairs = realtime.realtime_scores(ratings, ratings, lists, pair_scores=lambda met: content.pair_similarity(met, profiles))
+    assert rows(got) == rows(pairs) == rows(realtime.realtime_scores(ratings, ratings, lists)) and rows(got)
+    last = ratings.where("userId IS NOT NULL").dropDuplicates(["userId"])
+    assert rows(realtime.candidates(last, ratings, lists, held=4)) == rows(realtime.candidates(last, ratings, lists))
