@@ -64,6 +64,11 @@ def hot_items(counts: DataFrame, path: str, checkpoint: str, n: int = hotitems.T
     return counts.writeStream.outputMode("append").foreachBatch(rank).option("checkpointLocation", checkpoint)
 
 
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    """What the monitors read: (userId, eventType, ms, ts)."""
+    return events.withWatermark("ts", delay).select("userId", "eventType", F.unix_millis("ts").alias("ms"), "ts")
+
+
 def login_bursts(
     events: DataFrame,
     limit: int = logins.BURST_LIMIT,
@@ -75,9 +80,9 @@ def login_bursts(
     rows = events if event_type is None else events.where(F.col("eventType") == event_type)
     monitor = BurstMonitor(limit, seconds * 1000, logins.BURST_MESSAGE)
     return (
-        rows.withWatermark("ts", delay)
+        _timed(rows, delay)
         .groupBy("userId")
-        .transformWithStateInPandas(
+        .transformWithState(
             monitor, "userId bigint, windowStart bigint, loginNums bigint, msg string", "Append", "EventTime"
         )
     )
@@ -92,9 +97,9 @@ def login_patterns(
     """Runs of consecutive logins: (userId, firstLogin, loginNums, msg)."""
     monitor = PatternMonitor(seconds * 1000, tuple(repeats), logins.LOGIN, logins.PATTERN_MESSAGE)
     return (
-        events.withWatermark("ts", delay)
+        _timed(events, delay)
         .groupBy("userId")
-        .transformWithStateInPandas(
+        .transformWithState(
             monitor, "userId bigint, firstLogin bigint, loginNums int, msg string", "Append", "EventTime"
         )
     )

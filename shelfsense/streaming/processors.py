@@ -1,10 +1,10 @@
 """Keyed event-time state for the login monitors.
 
-A user's events wait in a map of one-second slots until the watermark has passed their slot; then the slot is folded, in time order, into
-what the user's past still decides (one open window, or the few logins whose run may grow) and removed. A micro-batch touches only the
-slots of its own events and those that the watermark has just passed; nothing else of the user is read or written, however busy the user
-is, and arrival order inside the watermark delay does not matter. A slot holds distinct (time, type) pairs with their number, so its size
-is bounded by its thousand milliseconds and the types of events.
+A user's events wait in a map until the watermark has passed their second; then they are folded, in time order, into what the user's past
+still decides (one open window, or the few logins whose run may grow) and removed. An entry of the map holds up to ``CHUNK`` events that came
+in one micro-batch, in order of time, so a call to the state store moves many events. A micro-batch writes its own events and reads the entries
+that the watermark has reached; nothing else of the user is read or written, however busy the user is, and arrival order inside the watermark
+delay does not matter. An entry holds distinct (time, type) pairs with their number.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 SLOT_MS = 1000
 
-
-def _millis(column: pd.Series) -> list[int]:
-    return (column.astype("datetime64[us]").astype("int64") // 1000).tolist()
+#: Events of an entry: one that is passed in parts is written again for each part.
+CHUNK = 256
 
 
 def _counts(held: tuple) -> dict[tuple[int, str | None], int]:
@@ -35,10 +34,10 @@ def _in_order(event: tuple[int, str | None]) -> tuple[int, bool, str]:
 
 
 class SlotMonitor(StatefulProcessor):
-    """Slots of pending events, what is open of the settled ones, and the one timer of a user with the latest slot ever written.
+    """Entries of pending events by their first time and a running number, what is open of the settled events, and the one timer of a user.
 
-    The timer stands at the end of the earliest pending slot, or where what is open ends without further events. When it fires, all slots
-    that the watermark has passed are folded in time order.
+    The timer stands at the end of the second of the earliest pending event, or where what is open ends without further events. When it
+    fires, all events whose second the watermark has passed are folded in time order.
     """
 
     OPEN: str
@@ -49,61 +48,70 @@ class SlotMonitor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot bigint", "ms array<bigint>, type array<string>, n array<bigint>")
+        self.slots = handle.getMapState("slots", "first bigint, number bigint", "ms array<bigint>, type array<string>, n array<bigint>")
         self.open = handle.getValueState("open", self.OPEN)
-        self.mark = handle.getValueState("mark", "timer bigint, latest bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, Counter] = {}
-        for frame in rows:
-            kinds = frame["eventType"].astype(object).where(frame["eventType"].notna(), None)
-            for event, n in Counter(zip(_millis(frame["ts"]), kinds)).items():
-                fresh.setdefault(event[0] // SLOT_MS, Counter())[event] += n
+        self.mark = handle.getValueState("mark", "timer bigint, number bigint")
+
+    def _keep(self, number: int, events: list[tuple[tuple[int, str | None], int]]) -> None:
+        (times, kinds), numbers = zip(*(event for event, _ in events)), [n for _, n in events]
+        self.slots.updateValue((times[0], number), (list(times), list(kinds), numbers))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = Counter((row["ms"], row["eventType"]) for row in rows)
         if not fresh:
             return iter([])
-        timer, latest = self.mark.get() or (None, None)
-        for slot, events in fresh.items():
-            held = self.slots.getValue((slot,)) if latest is not None and slot <= latest else None
-            if held is not None:
-                events.update(_counts(held))
-            self.slots.updateValue((slot,), ([ms for ms, _ in events], [kind for _, kind in events], list(events.values())))
-        end = (min(fresh) + 1) * SLOT_MS
+        timer, number = self.mark.get() or (None, 0)
+        events = sorted(fresh.items(), key=lambda event: _in_order(event[0]))
+        for at in range(0, len(events), CHUNK):
+            self._keep(number, events[at : at + CHUNK])
+            number += 1
+        end = (events[0][0][0] // SLOT_MS + 1) * SLOT_MS
         if timer is None or end < timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(end)
             timer = end
-        self.mark.update((timer, max(fresh) if latest is None else max(latest, *fresh)))
+        self.mark.update((timer, number))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() // SLOT_MS
-        pending = sorted(slot for (slot,) in self.slots.keys())
-        ripe = [slot for slot in pending if slot < passed]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() // SLOT_MS * SLOT_MS
+        pending = sorted(self.slots.keys())
+        reached = [entry for entry in pending if entry[0] < passed]
+        due = [first for first, _ in pending[len(reached) :]]
+        ripe: Counter = Counter()
+        rest = []
+        for entry in reached:
+            counts = _counts(self.slots.getValue(entry))
+            ripe.update({event: n for event, n in counts.items() if event[0] < passed})
+            if later := [event for event in counts.items() if event[0][0] >= passed]:
+                rest.append((entry[1], later))
+                due.append(later[0][0][0])
+        if not due:
+            self.slots.clear()
+        else:
+            for entry in reached:
+                self.slots.removeKey(entry)
+            for number, later in rest:
+                self._keep(number, later)
         before, found = self.open.get(), []
         after = before
-        for slot in ripe:
-            counts = _counts(self.slots.getValue((slot,)))
-            for ms, kind in sorted(counts, key=_in_order):
-                after = self.fold(after, ms, kind, counts[ms, kind], found)
-            if len(ripe) < len(pending):
-                self.slots.removeKey((slot,))
-        after = self.settle(after, passed * SLOT_MS, found)
+        for ms, kind in sorted(ripe, key=_in_order):
+            after = self.fold(after, ms, kind, ripe[ms, kind], found)
+        after = self.settle(after, passed, found)
         if after is not None:
             self.open.update(after)
         elif before is not None:
             self.open.clear()
-        due = [(pending[len(ripe)] + 1) * SLOT_MS] if len(ripe) < len(pending) else []
+        ends = [(min(due) // SLOT_MS + 1) * SLOT_MS] if due else []
         if after is not None:
-            due.append((self.until(after) // SLOT_MS + 1) * SLOT_MS)
-        if len(ripe) == len(pending):
-            self.slots.clear()
-        if due:
-            self.handle.registerTimer(min(due))
-            self.mark.update((min(due), pending[-1] if pending else passed))
+            ends.append((self.until(after) // SLOT_MS + 1) * SLOT_MS)
+        if ends:
+            self.handle.registerTimer(min(ends))
+            self.mark.update((min(ends), max((number for _, number in pending), default=-1) + 1))
         else:
             self.mark.clear()
-        return iter([pd.DataFrame([(key[0], *row) for row in found], columns=self.COLUMNS)] if found else [])
+        return (Row(**dict(zip(self.COLUMNS, (key[0], *row)))) for row in found)
 
     def until(self, state: tuple) -> int:
         """Time after which :meth:`settle` leaves nothing of the state if no event comes."""

@@ -5,12 +5,14 @@ import random
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import Row
 
 from shelfsense.operators import hotitems, logins, logs
 from shelfsense.schemas import HOT_ITEMS
 from shelfsense.sources.keyed import read_all
 from shelfsense.sources.streams import read_lines, to_console, to_files
 from shelfsense.streaming import jobs
+from shelfsense.streaming.processors import PatternMonitor
 
 T0 = 1_600_000_000
 BURST = {1: [0, 5, 29, 31, 60], 2: [0, 10], 3: [0, 10, 30]}
@@ -203,6 +205,72 @@ def test_monitors_over_many_batches(spark, tmp_path, kind):
     assert state("slots", 19)[1] <= 31 and max(state("open", 19).values()) == 1
 
 
+class _Store:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        held = self.held
+        acts = {
+            "get": lambda: held.get(None),
+            "update": lambda value: held.update({None: value}),
+            "getValue": held.get,
+            "updateValue": lambda key, value: held.update({key: value}),
+            "removeKey": held.pop,
+            "keys": lambda: list(held),
+            "clear": held.clear,
+        }
+        self.calls += 1
+        return acts[name]
+
+
+class _Handle:
+    def __init__(self):
+        self.stores, self.timers = {}, set()
+
+    def getMapState(self, name, *schemas):
+        return self.stores.setdefault(name, _Store())
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def test_a_monitor_calls_the_store_once_for_many_events():
+    """A user's 2,000 events of different seconds in three micro-batches; the second begins before the first is passed to its end."""
+    monitor, handle = PatternMonitor(20_000, (2, 3, 4), "login", "m"), _Handle()
+    monitor.init(handle)
+    rng = random.Random(3)
+    times = [s * 7 for s in range(2000)]
+    kinds = [rng.choice(["login", "login", None, "view"]) for _ in times]
+    found = []
+    for low, high, mark in ((0, 700, 600), (700, 1400, 1300), (1400, 2000, 10**9)):
+        rows = [Row(userId=1, eventType=kinds[n], ms=times[n] * 1000) for n in range(low, high)]
+        rng.shuffle(rows)
+        list(monitor.handleInputRows((1,), iter(rows), None))
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self, ms=min(mark * 7000, 10**11): ms})()
+        while due := [t for t in sorted(handle.timers) if t <= clock.getCurrentWatermarkInMs()]:
+            handle.deleteTimer(due[0])
+            found += list(monitor.handleExpiredTimer((1,), clock, None))
+    want = [
+        (times[n] * 1000, r + 1)
+        for n in range(2000)
+        for r in (2, 3, 4)
+        if kinds[n : n + 2] == ["login", "login"]
+        and len(after := [t for t, k in zip(times[n + 1 :], kinds[n + 1 :]) if k == "login"]) >= r
+        and after[r - 1] - times[n] < 20
+    ]
+    assert sorted((r.firstLogin, r.loginNums) for r in found) == want and want
+    assert not any(store.held for store in handle.stores.values()) and not handle.timers
+    assert sum(store.calls for store in handle.stores.values()) < 100
+
+
 def test_late_logins_are_left_out(spark, tmp_path):
     """A login behind the watermark neither opens nor joins a window."""
     parts = [[(1, "login", 0), (1, "login", 5)], [(2, "login", 100)], [(2, "login", 101)], [(1, "login", 6), (2, "login", 102)], [(-1, "login", FAR - T0)]]
