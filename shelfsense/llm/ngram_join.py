@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import mix, shingle_set, signed, slices, small_batches, table, words
+from shelfsense.llm.common import mix, shingle_set, signed, slices, small_batches, table, tidy, words
 from shelfsense.session import materialise
 
 WIDTH = 5
@@ -69,8 +69,8 @@ def slot_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         yield from _chunks(sums)
 
     kind = "chunk int, n binary"
-    once = small_batches(docs.select("text")).mapInArrow(count, kind).repartition("chunk", F.pmod(F.xxhash64("n"), F.lit(16)))
-    rows = small_batches(once).mapInArrow(total, kind).repartition("chunk").mapInArrow(total, kind).collect()
+    once = small_batches(docs.select("text")).mapInArrow(tidy(count), kind).repartition("chunk", F.pmod(F.xxhash64("n"), F.lit(16)))
+    rows = small_batches(once).mapInArrow(tidy(total), kind).repartition("chunk").mapInArrow(tidy(total), kind).collect()
     out = np.zeros((1 << SLOT_BITS) // _CHUNK * _CHUNK, np.int64).reshape(-1, _CHUNK)
     for chunk, raw in rows:
         out[chunk] = np.frombuffer(raw, "<u4" if len(raw) == 4 * _CHUNK else "<u8")
@@ -112,7 +112,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: i
                 names=["doc_id", "n", "f", "g", "parts", "prefix", "lists"],
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n long, f long, g long, parts array<int>, prefix array<long>, lists array<int>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), "doc_id long, n long, f long, g long, parts array<int>, prefix array<long>, lists array<int>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -190,7 +190,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int =
                     out.append((a, b, both, either))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["a", "b", "both", "either"])
 
-    return small_batches(rows.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long, both long, either long")
+    return small_batches(rows.select("a", "b", "ta", "tb")).mapInArrow(tidy(run), "a long, b long, both long, either long")
 
 
 def components(edges: DataFrame) -> DataFrame:

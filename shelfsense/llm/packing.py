@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfsense.llm.chunks import ENCODE_BYTES, ChunkTable, per_text, text_column
-from shelfsense.llm.common import slices, small_batches, table
+from shelfsense.llm.common import slices, small_batches, table, tidy
 from shelfsense.session import materialise
 
 WINDOW = 4096
@@ -118,7 +118,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFram
                 names=["doc_id", "part", "part_start", "doc_tokens", "ids"],
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, _TOKENS)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), _TOKENS)
 
 
 _PIECES = (
@@ -155,7 +155,7 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(_OUT.names, r, strict=True)) for r in rows], schema=_OUT)
 
-    return small_batches(placed).mapInArrow(run, _PIECES)
+    return small_batches(placed).mapInArrow(tidy(run), _PIECES)
 
 
 _OUT = pa.schema(

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import fold_of, mix, plain_words, schema_of, slices, small_batches, table, windows, word_hashes, words
+from shelfsense.llm.common import fold_of, mix, plain_words, schema_of, slices, small_batches, table, tidy, windows, word_hashes, words
 from shelfsense.llm.logistic import calibrate, fit, sample_labels, sigmoid
 
 BITS = 15
@@ -104,7 +104,7 @@ def _features(sample: DataFrame) -> DataFrame:
                 rows.append({"doc_id": doc_id, "y": y, "held": held, "cells": joined.tolist(), "xs": np.concatenate(xs).tolist() if xs else []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return small_batches(sample).mapInArrow(run, "doc_id long, y int, held int, cells array<int>, xs array<float>")
+    return small_batches(sample).mapInArrow(tidy(run), "doc_id long, y int, held int, cells array<int>, xs array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
                 names=[*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"],
             )
 
-    out = small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema_of(docs, keep, _KINDS))
+    out = small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(tidy(run), schema_of(docs, keep, _KINDS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= MIN_PROBABILITY))
 

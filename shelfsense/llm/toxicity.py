@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import fold_of, schema_of, slices, small_batches, table
+from shelfsense.llm.common import fold_of, schema_of, slices, small_batches, table, tidy
 from shelfsense.llm.logistic import calibrate, sample_labels, sigmoid
 
 #: Most labelled rows of each class that training takes.
@@ -151,7 +151,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return small_batches(sample).mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return small_batches(sample).mapInArrow(tidy(run), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _pairs(sample: DataFrame, share: dict[str, float]) -> DataFrame:
@@ -172,7 +172,7 @@ def _pairs(sample: DataFrame, share: dict[str, float]) -> DataFrame:
                 rows += [(phrase, least, y) for phrase, least in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["phrase", "share", "y"])
 
-    found = small_batches(sample).mapInArrow(run, "phrase string, share double, y long")
+    found = small_batches(sample).mapInArrow(tidy(run), "phrase string, share double, y long")
     return found.groupBy("phrase").agg(F.min("share").alias("share"), F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
 
 
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = (), per
     harmless = (
         counts.where(F.col("entry").endswith(" ") & (F.col("clean") >= 2) & (F.col("odds") < 0))
         .select("entry", begun)
-        .join(F.broadcast(rows.sparkSession.createDataFrame([(s,) for s in stems], "stem string")), "stem", "left_semi")
+        .join(F.broadcast(rows.sparkSession.createDataFrame(pa.table({"stem": pa.array(stems, pa.string())}))), "stem", "left_semi")
         .select("entry")
         .distinct()
         .orderBy("entry")
@@ -241,7 +241,7 @@ def _measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[:, k]) for k in range(3))], names=[*keep, "root", "share", "most"])
 
-    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema_of(docs, keep, "root double, share double, most double"))
+    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(tidy(run), schema_of(docs, keep, "root double, share double, most double"))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
