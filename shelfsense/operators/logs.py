@@ -63,9 +63,8 @@ def valid_score(raw: Column) -> Column:
     return F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score)
 
 
-def _field(body: Column, i: int, kind: str) -> Column:
+def _field(raw: Column, kind: str) -> Column:
     """The field as its kind, NULL where it is not valid: numbers that parse, times in range, finite scores, filled names."""
-    raw = bar_field(body, i)
     if kind in _LONGEST:
         return valid_time(raw, kind)
     if kind == "score":
@@ -76,9 +75,12 @@ def _field(body: Column, i: int, kind: str) -> Column:
 
 
 def _parsed(rows: DataFrame, body: str, fields: list[tuple[str, int, str]]) -> DataFrame:
-    """All columns of ``rows`` plus one column per (name, position, type), NULL where it does not parse."""
-    columns = [_field(F.col(body), i, kind).alias(name) for name, i, kind in fields]
-    return rows.select("*", *columns)
+    """All columns of ``rows`` plus one column per (name, position, type), NULL where it does not parse.
+
+    The raw fields leave a generator of one row, below which no condition on them is moved, so the body and each field are cut and trimmed once.
+    """
+    cut = F.inline(F.array(F.struct(*[bar_field(F.col(body), i).alias(name) for name, i, _ in fields])))
+    return rows.select("*", cut).select(*rows.columns, *[_field(F.col(name), kind).alias(name) for name, _, kind in fields])
 
 
 _RATING_FIELDS = [("userId", 0, "int"), ("productId", 1, "int"), ("score", 2, "score"), ("timestamp", 3, "seconds")]
@@ -117,7 +119,7 @@ def quarantine(lines: DataFrame, value: str = "value") -> DataFrame:
     for topic, fields in ((LOGIN_TOPIC, _LOGIN_FIELDS), (RATING_TOPIC, _RATING_FIELDS), (PV_TOPIC, _VIEW_FIELDS)):
         good = F.lit(True)
         for _, i, kind in fields:
-            good = good & _field(F.col("body"), i, kind).isNotNull()
+            good = good & _field(bar_field(F.col("body"), i), kind).isNotNull()
         parses = F.when(F.col("topic") == topic, good).otherwise(parses)  # a body meets the rule of its topic alone
     return routed.where(~parses)
 

@@ -436,11 +436,11 @@ def login_pattern(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _line_stream(lines: DataFrame) -> DataFrame:
-    """Write lines as text files and open a stream on them."""
+    """Write lines as compressed text files and open a stream on them."""
     spark = lines.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     path = new_path(spark, "lines")
-    lines.select("value").write.text(path)
+    lines.select("value").write.text(path, compression="gzip")
     return read_lines(spark, path)
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from shelfsense.operators import logs
+from shelfsense.plans import catalogue
 
 LINES = {
     "xx LOGIN_PREFIX:96354|login|1590909556000": ("recommender_login", "96354|login|1590909556000"),
@@ -75,3 +76,21 @@ def test_out_of_range_times_and_odd_scores_are_quarantined(spark):
     assert logs.parse_page_views(logs.topic_rows(cleaned, logs.PV_TOPIC)).count() == 1
     assert logs.parse_logins(logs.topic_rows(cleaned, logs.LOGIN_TOPIC)).count() == 1
     assert logs.parse_ratings(logs.topic_rows(cleaned, logs.RATING_TOPIC)).count() == 1
+
+
+def test_a_line_is_cut_and_trimmed_once(spark):
+    """Conditions on parsed fields stay above the parsing: the plan trims the body and each field a single time."""
+    lines = spark.createDataFrame([("PRODUCT_RATING_PREFIX: 1 | 2|4.0|\t9 ",), ("PRODUCT_RATING_PREFIX:1|2|x|9",)], "value string")
+    parsed = logs.parse_ratings(logs.topic_rows(logs.clean_lines(lines.repartition(2)), logs.RATING_TOPIC))
+    plan = parsed.where("score > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 5
+    assert [tuple(r) for r in parsed.collect()] == [(1, 2, 4.0, 9)]
+
+
+def test_lines_of_a_stream_are_stored_compressed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalogue, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    lines = spark.createDataFrame([("a|b",), ("",), ("é",)], "value string")
+    assert catalogue._line_stream(lines).isStreaming
+    parts = list((tmp_path / "lines").glob("part-*"))
+    assert parts and all(p.name.endswith(".gz") for p in parts)
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/lines").collect()) == ["", "a|b", "é"]
